@@ -21,6 +21,7 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
+from ..sources.tables import ship
 from .common import text_map
 from .pretokens import TwoGenerations, splitter
 
@@ -144,6 +145,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     """Per row: ``decoded`` (binary), the bytes of the ids; null ids decode to no bytes. No shuffle."""
     import pyarrow as pa
 
+    ship(encoded.sparkSession)
     source = encoded.select(encoded[id_col], encoded[ids_col].alias("_ids"))
 
     def run(batches):

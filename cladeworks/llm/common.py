@@ -10,14 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.tables import ship
+
 #: Bytes of text handed to a batch function at once; it bounds a worker's memory and never changes a result.
 SLICE_BYTES = 2 << 20
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes; one longer row is a run of its own."""
     if not batch.num_rows:
@@ -52,13 +50,12 @@ def text_map(
     ``start`` builds ``fn`` once per task where it needs tables of its own. Only the columns named
     are read, so other columns of the input can have any names.
     """
+    ship(df.sparkSession)
     kept = [id_col, *carry]
-    clash = [c for c in kept if c == text_col]
     source = df.select(*[df[c].alias(f"_k{i}") for i, c in enumerate(kept)], df[text_col].cast("string").alias("_text"))
     added = T._parse_datatype_string(outputs)
     schema = T.StructType([T.StructField(c, df.schema[c].dataType, True) for c in kept] + list(added.fields))
     kinds = [(f.name, arrow_type(f.dataType)) for f in added.fields]
-    assert not clash or text_col in kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start() if start else fn
@@ -84,3 +81,28 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a result that is read more than once to the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A value is hot if it has more than one in so many of all rows; hence there are at most this many hot values.
+HOT_SHARE = 1000
+
+
+def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count: str, salts: int = 64) -> DataFrame:
+    """Inner join of many rows to one row per key, where few keys may hold most rows.
+
+    ``stats`` has ``keys``, the number of rows of each key in ``count``, and values. Keys with more than
+    1 / ``HOT_SHARE`` of the rows are at most ``HOT_SHARE`` by counting, so they are broadcast; their rows are
+    spread by a salt and pass the shuffled join of the other keys.
+    """
+    from pyspark.sql import functions as F
+
+    total = stats.agg(F.sum(count)).first()[0] or 0
+    values = [c for c in stats.columns if c not in keys]
+    packed = F.struct(*values)
+    is_hot = F.col(count) * HOT_SHARE > total
+    hot = stats.filter(is_hot).select(*keys, packed.alias("_hot"))
+    cold = stats.filter(~is_hot).select(*keys, packed.alias("_cold"), F.lit(0).alias("_salt"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(salts)).cast("int"))
+    joined = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold")
+    return joined.filter(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in values])

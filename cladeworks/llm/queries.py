@@ -5,9 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
 from .bpe import bpe_digests
-from .common import read_table
+from .language_id import identify
+from .pii import find_pii
 from .quality_rules import quality_rules
+from .sharding import SHARD_BYTES, shard
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 
@@ -15,6 +19,22 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read_table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,9 +45,55 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
+def sharding_sql(limit: int = SHARD_BYTES) -> str:
+    return f"""
+WITH base AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+at_depth AS (SELECT b.*, d::INTEGER AS depth, h >> (60 - d)::INTEGER AS q FROM base b, range(0, 61) t(d)),
+sums AS (SELECT depth, q, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_rows FROM at_depth GROUP BY ALL),
+leaf AS (
+  SELECT a.doc_id, a.n_bytes, a.depth, a.q, s.shard_bytes, s.shard_rows
+  FROM at_depth a JOIN sums s USING (depth, q)
+  WHERE s.shard_bytes <= {limit} OR s.shard_rows = 1 OR depth = 60
+  QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.h ORDER BY depth) = 1)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE substr(lpad(bin(q), 60, '0'), 61 - depth) END AS shard,
+       depth, shard_bytes, shard_rows, n_bytes > {limit} AS oversize
+FROM leaf"""
+
+
+SUBSTRING_SQL = r"""
+WITH pieces AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*?[.!?][ \t]+|[^\n]+\n?|\n') AS us FROM documents),
+units AS (
+  SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS place FROM pieces),
+sized AS (
+  SELECT doc_id, place, u, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS unit,
+         sum(length(u)) OVER (PARTITION BY doc_id ORDER BY place) AS stop FROM units),
+worded AS (SELECT *, stop - length(u) AS start, len(string_split(unit, ' ')) AS words FROM sized WHERE unit <> ''),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, place) > 1 AS again,
+         row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM worded),
+islands AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM ranked WHERE again),
+runs AS (
+  SELECT doc_id, min(start)::BIGINT AS a, max(stop)::BIGINT AS b FROM islands GROUP BY doc_id, island HAVING sum(words) >= 8),
+lists AS (
+  SELECT doc_id, count(*)::INTEGER AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS removed, sum(b - a)::BIGINT AS n_chars_removed
+  FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT s.doc_id, string_agg(u, '' ORDER BY place) AS rest FROM sized s
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = s.doc_id AND r.a <= s.stop - length(u) AND s.stop <= r.b) GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(len(p.us), 0)::INTEGER AS n_units, coalesce(l.n_removed, 0)::INTEGER AS n_removed, coalesce(l.removed, '') AS removed,
+       coalesce(l.n_chars_removed, 0)::BIGINT AS n_chars_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(k.rest, '') END AS text
+FROM documents d LEFT JOIN pieces p USING (doc_id) LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
 #: Operators that SQL can express; the others are tested against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_sharding": sharding_sql(), "op6_substring_dedup": SUBSTRING_SQL}
