@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from .bpe import bpe_digests
+from .decontamination import find_contamination
 from .language_id import identify
+from .near_duplicates import near_duplicates
 from .pii import find_pii
 from .quality_rules import quality_rules
 from .sharding import SHARD_BYTES, shard
@@ -15,6 +17,14 @@ from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -44,6 +54,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
@@ -95,5 +107,21 @@ SELECT d.doc_id, coalesce(len(p.us), 0)::INTEGER AS n_units, coalesce(l.n_remove
        coalesce(l.n_chars_removed, 0)::BIGINT AS n_chars_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(k.rest, '') END AS text
 FROM documents d LEFT JOIN pieces p USING (doc_id) LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
 
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i WHERE len(ws) >= 5),
+same AS (SELECT doc_id, item_id, n, p - q AS line, p FROM dw JOIN iw USING (w)),
+reach AS (
+  SELECT doc_id, item_id, n, p, lead(p, 10) OVER l AS p11, lead(p, 11) OVER l AS p12, lead(p, 12) OVER l AS p13,
+         lead(p, (n - 1)::INTEGER) OVER l AS pn
+  FROM same WINDOW l AS (PARTITION BY doc_id, item_id, line ORDER BY p)),
+good AS (
+  SELECT doc_id, item_id, CASE WHEN n < 13 THEN CASE WHEN pn - p = n - 1 THEN n END
+    WHEN p13 - p = 12 THEN 13 WHEN p12 - p <= 12 THEN 12 WHEN p11 - p <= 12 THEN 11 END AS agreed FROM reach)
+SELECT doc_id, item_id, max(agreed)::INTEGER AS agreed FROM good WHERE agreed IS NOT NULL GROUP BY ALL"""
+
 #: Operators that SQL can express; the others are tested against brute force.
-SQL: dict[str, str] = {"op5_sharding": sharding_sql(), "op6_substring_dedup": SUBSTRING_SQL}
+SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION_SQL, "op5_sharding": sharding_sql(), "op6_substring_dedup": SUBSTRING_SQL}
