@@ -106,3 +106,31 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count: str, s
     joined = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
     found = F.coalesce("_hot", "_cold")
     return joined.filter(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in values])
+
+
+def filter_texts(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], object]) -> DataFrame:
+    """The rows whose texts ``keep`` says true for, with all columns. No shuffle."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at]):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_texts(df: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[str | None]]) -> DataFrame:
+    """The rows with new texts, all other columns as they were. No shuffle."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at]):
+                columns = list(part.columns)
+                columns[at] = pa.array(fn(columns[at].to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -11,6 +11,7 @@ from .decontamination import find_contamination
 from .language_id import identify
 from .near_duplicates import near_duplicates
 from .pii import find_pii
+from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .sharding import SHARD_BYTES, shard
 from .substring_dedup import substring_dedup
@@ -29,6 +30,10 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
