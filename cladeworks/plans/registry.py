@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from . import hierarchy
+
+_MODULES = (hierarchy,)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
 FLAGSHIP = "q_children_counts"
