@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cladeworks-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="cladeworks-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a result that is read more than once to the shared folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result that is read more than once as a table in the shared folder, and read it from there.
+
+    This cuts the lineage, survives lost executors and, unlike a checkpoint, computes the rows only once.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
