@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
@@ -10,7 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..sources.tables import ship
+from ..sources.tables import materialize, shared_dir, ship
+
+__all__ = ["materialize", "shared_dir", "ship"]
 
 #: Bytes of text handed to a batch function at once; it bounds a worker's memory and never changes a result.
 SLICE_BYTES = 2 << 20
@@ -69,20 +70,6 @@ def text_map(
     return source.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cladeworks-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a result that is read more than once to the shared folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: A value is hot if it has more than one in so many of all rows; hence there are at most this many hot values.
 HOT_SHARE = 1000
 
