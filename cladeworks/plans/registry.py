@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy
+from . import analytics, hierarchy, relational
 
-_MODULES = (hierarchy,)
+_MODULES = (relational, analytics, hierarchy)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in _MODULES:
