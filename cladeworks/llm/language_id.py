@@ -40,6 +40,8 @@ CALIBRATION = 25.0
 REJECT = 0.6
 MAX_LANGUAGES = 500
 BLANK = 32
+#: Parts texts that are counted end to end; no code point.
+BORDER = 0x110000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,65 +163,104 @@ class Model:
         return {"lang_pred": langs, "score": scores, "rejected": rejected}
 
 
+class _Counter:
+    """n-gram counts of one task, by language, as packed integers over the letters met so far."""
+
+    FLUSH, HELD = 2_000_000, 1_000_000
+
+    def __init__(self, order: int) -> None:
+        self.order, self.bits = order, 63 // order
+        self.pad = np.full(order - 2, BLANK, np.uint32)
+        self.border = np.full(1, BORDER, np.uint32)
+        self.pending: dict[str, list[np.ndarray]] = {}
+        self.size = 0
+        self.reset()
+
+    def reset(self) -> None:
+        self.number = np.full(BORDER + 1, -1, np.int32)
+        self.letters = np.empty(0, np.uint32)
+        self.counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, lang: str, codes: np.ndarray) -> None:
+        self.pending.setdefault(lang, []).extend([self.pad, codes, self.border])
+        self.size += len(codes) + self.order
+
+    def flush(self):
+        """Count what is pending; yields batches when the alphabet or the table is full."""
+        for lang, rows in self.pending.items():
+            codes = np.concatenate(rows)
+            # a part with too many letters for the packing is halved until it fits
+            parts = [codes]
+            while parts:
+                part = parts.pop()
+                new = np.unique(part[self.number[part] < 0])
+                new = new[new != BORDER]
+                if len(self.letters) + len(new) > 1 << self.bits:
+                    if len(self.letters):
+                        yield from self.rows()
+                        parts.append(part)
+                    else:
+                        middle = len(part) // 2
+                        parts += [part[: middle + self.order - 1], part[middle:]]
+                    continue
+                self.number[new] = np.arange(len(self.letters), len(self.letters) + len(new))
+                self.letters = np.concatenate([self.letters, new])
+                n = len(part) - self.order + 1
+                if n <= 0:
+                    continue
+                dense = self.number[part].astype(np.int64)
+                key, ok = np.zeros(n, np.int64), np.ones(n, bool)
+                for j in range(self.order):
+                    column = dense[j : j + n]
+                    ok &= column >= 0
+                    key = key << self.bits | column
+                self.keep(lang, key[ok], None)
+        self.pending.clear()
+        self.size = 0
+        if self.held > self.HELD:
+            yield from self.rows()
+
+    def keep(self, lang: str, keys: np.ndarray, n: np.ndarray | None) -> None:
+        at, distinct = pd.factorize(keys)
+        known = self.counts.setdefault(lang, [])
+        known.append((distinct, np.bincount(at, n, len(distinct)).astype(np.int64)))
+        self.held += len(distinct)
+        if len(known) >= 8:
+            self.held -= sum(len(k) for k, _ in known)
+            keys, n = (np.concatenate(x) for x in zip(*known))
+            del known[:]
+            self.keep(lang, keys, n)
+
+    def rows(self):
+        mask = (1 << self.bits) - 1
+        for lang, known in self.counts.items():
+            keys, n = (np.concatenate(x) for x in zip(*known))
+            for a in range(0, len(keys), 50_000):
+                k = keys[a : a + 50_000]
+                codes = np.stack([self.letters[k >> (self.bits * (self.order - 1 - j)) & mask] for j in range(self.order)], axis=1)
+                grams = np.ascontiguousarray(codes.astype(np.uint32)).view(f"<U{self.order}").ravel().tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(grams, pa.string()), pa.array(n[a : a + 50_000], pa.int64())], names=["lang", "gram", "n"])
+        self.reset()
+
+
 def _count_rows(train: DataFrame, order: int) -> DataFrame:
     """(lang, gram, n): n-grams of the highest order, added up inside each task first."""
+    ship(train.sparkSession)
 
     def run(batches):
-        pending: dict[str, list] = {}
-        counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        size = 0
-
-        def flush() -> None:
-            for lang, rows in pending.items():
-                codes = np.concatenate(rows)
-                windows = np.lib.stride_tricks.sliding_window_view(codes, order)
-                windows = windows[(windows != 0xFFFFFFFF).all(axis=1)] if order else windows
-                # characters become dense numbers, so that an n-gram is one integer
-                alphabet, dense = np.unique(windows, return_inverse=True)
-                dense = dense.reshape(windows.shape).astype(np.int64)
-                width = max(1, int(len(alphabet) - 1).bit_length())
-                if width * order > 63:
-                    grams, n = np.unique(windows, axis=0, return_counts=True)
-                else:
-                    key = np.zeros(len(dense), np.int64)
-                    for j in range(order):
-                        key = key << width | dense[:, j]
-                    key, n = np.unique(key, return_counts=True)
-                    grams = np.stack([alphabet[key >> (width * (order - 1 - j)) & (1 << width) - 1] for j in range(order)], axis=1)
-                as_text = np.ascontiguousarray(grams.astype(np.uint32)).view(f"<U{order}").ravel()
-                if lang in counts:
-                    as_text = np.concatenate([counts[lang][0], as_text])
-                    n = np.concatenate([counts[lang][1], n])
-                    as_text, back = np.unique(as_text, return_inverse=True)
-                    n = np.bincount(back, n).astype(np.int64)
-                counts[lang] = as_text, n
-            pending.clear()
-
-        def rows():
-            for lang, (grams, n) in counts.items():
-                for a in range(0, len(grams), 50_000):
-                    g = grams[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.tolist(), pa.string()), pa.array(n[a : a + 50_000], pa.int64())], names=["lang", "gram", "n"])
-            counts.clear()
-
-        border = np.array([0xFFFFFFFF], np.uint32)
-        pad = np.full(order - 2, BLANK, np.uint32)
+        counter = _Counter(order)
         for batch in batches:
             for part in slices(batch, "_text"):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     codes = folded(text)
                     if len(codes):
-                        pending.setdefault(lang, []).extend([pad, codes, border])
-                        size += len(codes)
-                if size > 4_000_000:
-                    flush()
-                    size = 0
-                if sum(len(g) for g, _ in counts.values()) > 1_500_000:
-                    yield from rows()
-        flush()
-        yield from rows()
+                        counter.add(lang, codes)
+                if counter.size > counter.FLUSH:
+                    yield from counter.flush()
+        yield from counter.flush()
+        yield from counter.rows()
 
-    ship(train.sparkSession)
     return train.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -233,15 +274,15 @@ def fit(docs: DataFrame, train_if: Column, text_col: str = "text", lang_col: str
     level = counted
     for k in range(order, 0, -1):
         whole = level.groupBy("lang").agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2"))
-        totals = whole.toPandas().set_index("lang")  # one row per language
+        totals = whole.toArrow().to_pandas().set_index("lang")  # one row per language
         if len(totals) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
         context = level.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("cn"))
         limit = F.create_map(*[x for lang, t in totals["total"].items() for x in (F.lit(lang), F.lit(float(t) * min_share))]) if len(totals) else F.lit(None)
         if len(totals):
             level_kept = level.filter(F.col("n") >= limit[F.col("lang")])
-            kept = level_kept.select("lang", "gram", "n", F.substring("gram", 1, k - 1).alias("context")).toPandas()
-            contexts = context.filter(F.col("cn") >= limit[F.col("lang")]).toPandas()
+            kept = level_kept.select("lang", "gram", "n", F.substring("gram", 1, k - 1).alias("context")).toArrow().to_pandas()
+            contexts = context.filter(F.col("cn") >= limit[F.col("lang")]).toArrow().to_pandas()
         else:
             kept = pd.DataFrame(columns=["lang", "gram", "n", "context"])
             contexts = pd.DataFrame(columns=["lang", "context", "cn"])
