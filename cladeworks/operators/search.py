@@ -101,7 +101,8 @@ def page(found: DataFrame, offset: int, limit: int, key: str = "key") -> DataFra
 def suggestions(df: DataFrame, prefix: str, column: str, rank: str | None = None, key: str = "key") -> DataFrame:
     """Rows with a word that begins with each word asked for, and their score: the whole name's start counts most."""
     asked = [w for w in prefix.lower().split() if w]
-    has = reduce(lambda a, b: a & b, [F.exists(words(F.col(column)), lambda w, p=p: w.startswith(p)) for p in asked], F.lit(True))
+    begins = lambda start: F.exists(words(F.col(column)), lambda w: w.startswith(start))
+    has = reduce(lambda a, b: a & b, map(begins, asked), F.lit(True))
     score = F.when(F.lower(column).startswith(" ".join(asked)), 100.0).otherwise(10.0)
     if rank:
         score = score + F.when(F.col(rank) == ("SPECIES" if len(asked) > 1 else "GENUS"), 50.0).otherwise(0.0)

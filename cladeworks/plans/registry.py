@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, hierarchy, relational
+from . import analytics, hierarchy, names, relational
 
-_MODULES = (relational, analytics, hierarchy)
+_MODULES = (relational, analytics, hierarchy, names)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in _MODULES:
