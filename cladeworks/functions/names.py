@@ -184,7 +184,7 @@ def assemble(name: Column, generic: Column, specific: Column, infraspecific: Col
     spelled = F.when((initial != "") & (F.substring(generic, 1, 1) == initial), F.concat(generic, F.lit(" "), F.regexp_replace(name, r"^[A-Z]\.? ", ""))).otherwise(name)
     atoms = F.when(generic.isNotNull(), F.concat_ws(" ", generic, specific, infraspecific))
     full = F.coalesce(spelled, atoms)
-    full = F.when(authorship.isNotNull() & (F.locate(authorship, full) == 0), F.concat_ws(" ", full, authorship)).otherwise(full)
+    full = F.when(authorship.isNotNull() & (F.position(authorship, full) == 0), F.concat_ws(" ", full, authorship)).otherwise(full)
     guess = F.when(generic.isNull(), F.lit(None)).when(infraspecific.isNotNull(), "INFRASPECIFIC_NAME").when(specific.isNotNull(), "SPECIES").otherwise("GENUS")
     return full, F.coalesce(rank, guess)
 

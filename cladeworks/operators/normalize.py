@@ -26,7 +26,7 @@ def usages(core: DataFrame) -> DataFrame:
     rank, bad_rank = first_parsable(RANK, _get(core, "taxonRank"), _get(core, "verbatimTaxonRank"))
     status, bad_status = first_parsable(STATUS, _get(core, "taxonomicStatus"))
     author, name = _get(core, "scientificNameAuthorship"), _get(core, "scientificName")
-    full = F.when(author.isNotNull() & (F.locate(author, name) == 0), F.concat_ws(" ", name, author)).otherwise(name)
+    full = F.when(author.isNotNull() & (F.position(author, name) == 0), F.concat_ws(" ", name, author)).otherwise(name)
     atoms = F.concat_ws(" ", _get(core, "genus"), _get(core, "specificEpithet"), _get(core, "infraspecificEpithet"))
     full = F.coalesce(full, F.nullif(F.concat_ws(" ", F.nullif(atoms, F.lit("")), author), F.lit("")))
     base = core.select(
