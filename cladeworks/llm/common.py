@@ -95,6 +95,35 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count: str, s
     return joined.filter(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in values])
 
 
+#: Bits of the bitmap by which rows are sifted before a semi-join: 8 MB at the workers, whatever the data.
+SIFT_BITS = 1 << 26
+
+
+def sift(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Left semi-join on ``key`` that moves few unwanted rows: they are sifted by a bitmap of hashed keys first.
+
+    The bitmap has a fixed size. Many keys make it let more rows pass, never fewer, and the join decides.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    ship(rows.sparkSession)
+    at = F.pmod(F.xxhash64(key), F.lit(SIFT_BITS))
+    words = wanted.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(SIFT_BITS // 64, np.int64)
+    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    keyed = rows.select("*", at.alias("_at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            keep = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return keyed.mapInArrow(run, rows.schema).join(wanted.select(key), key, "left_semi")
+
+
 def filter_texts(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], object]) -> DataFrame:
     """The rows whose texts ``keep`` says true for, with all columns. No shuffle."""
     ship(df.sparkSession)

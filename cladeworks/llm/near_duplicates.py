@@ -7,13 +7,14 @@ values are then compared ``BATCH`` at a time. With m of n equal, the similarity
 Beta(m + 1, n - m + 1), and once the probability of reaching the threshold is below ``TOLERANCE`` the
 pair is dropped. The rest is verified exactly on the sets. Verified links are joined to groups.
 
-Large bands. In a bucket of up to ``PAIR_LIMIT`` texts all pairs are candidates. In a larger one each
-text is compared with ``HUBS`` texts of the bucket. Texts that link to no hub there go on to the next
-round, where the bucket consists of them alone and has new hubs, until it fits the limit. Each round
-takes the hubs out, so the rounds end, and no bucket emits all its pairs.
+Large buckets. In a bucket of up to ``PAIR_LIMIT`` texts all pairs are candidates. In a larger one each
+text is compared with ``HUBS`` texts of the bucket, so a group of near copies costs one link for each
+member. Texts that link to no hub there share the band for some other reason, mostly a common
+passage. They go on to finer buckets, which need a second band in common (``FINER`` of them are tried).
+What is large even there and links to no hub is compared pair by pair, so nothing is dropped.
 
-Skew. Exact copies are counted before any shuffle. Hot classes, buckets, hubs and groups are found by
-counting and spread by salts.
+Skew. Exact copies are counted before any shuffle. Hot classes and buckets are found by counting and
+spread by salts; the pairs of a hub and the members of a large group are split by the adaptive join.
 
 Result: one row for each input row with its group (``class_id``, the least id in it), the
 representative of its text (``text_id``), ``n_copies`` (rows with equal words) and ``n_links``
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import ship
-from .common import arrow_type, join_stats, materialize, slices
+from .common import arrow_type, join_stats, materialize, sift, slices
 from .words import hashed, mix
 
 THRESHOLD = 0.5
@@ -43,9 +44,8 @@ ROWS = 3
 BATCH = 8
 TOLERANCE = 1e-3
 PAIR_LIMIT = 32
-HUBS = 2
-#: Pairs of one text that a task verifies together.
-PER_SALT = 500
+HUBS = 4
+FINER = 8
 
 _rng = np.random.Generator(np.random.PCG64(2024))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -143,41 +143,38 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _attach(pairs: DataFrame, table: DataFrame, key: str, value: str, named: str) -> DataFrame:
-    """Add ``value`` of ``table`` (by id) for the id in ``key``; ids with many pairs are spread by salts."""
-    counts = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("_n")).withColumnRenamed(key, "_id")
-    salted = (
-        table.join(counts, table["id"] == F.col("_id")).select("_id", value, F.col("_n"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"))
-    )
-    hot = counts.filter("_n > 1")
-    other = "b" if key == "a" else "a"
-    # a hot id has over PER_SALT pairs; the number of its salts rides along with the pairs
-    spread = join_salts(pairs, hot, key, other)
-    return spread.join(salted, (F.col(key) == salted["_id"]) & (F.col("_salt") == salted["_s"])).select(*pairs.columns, F.col(value).alias(named))
-
-
-def join_salts(pairs: DataFrame, hot: DataFrame, key: str, other: str) -> DataFrame:
-    known = hot.select(F.col("_id").alias("_hot"), F.col("_n").alias("_salts"))
-    return pairs.join(known, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("_salts")).cast("int"), F.lit(0))
-    ).drop("_hot", "_salts")
+    """Add ``value`` of ``table`` (by id) for the id in ``key``. A hub has many pairs: the adaptive skew join
+    splits its pairs over tasks and sends its one row to each."""
+    return pairs.join(table.select(F.col("id").alias("_id"), F.col(value).alias(named)), F.col(key) == F.col("_id")).drop("_id")
 
 
-def _candidates(members: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame | None]:
-    """From (key, id) rows: all pairs (a, b) of small buckets, and (key, hub, id) of large ones, if any."""
+def _candidates(members: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """From (band, key, id) rows: all pairs (a, b) of small buckets, and (band, key, hub, id) of large ones, if any."""
     sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = materialize(join_stats(members, sizes, ["key"], "n"))
+    if last:
+        left, right = shared.select("key", F.col("id").alias("a")), shared.select("key", F.col("id").alias("b"))
+        return left.join(right, "key").filter("a < b").select("a", "b"), None
     small = shared.filter(F.col("n") <= PAIR_LIMIT).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     at = F.posexplode("ids").alias("i", "a")
     pairs = small.select("ids", at).select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(PAIR_LIMIT))).alias("b"))
     large = shared.filter(F.col("n") > PAIR_LIMIT)
     if large.isEmpty():
         return pairs, None
-    lots = [F.min(F.struct(F.xxhash64(F.lit(round_no * HUBS + i), "id"), "id"))["id"] for i in range(HUBS)]
+    lots = [F.min(F.struct(F.xxhash64(F.lit(i), "key", "id"), "id"))["id"] for i in range(HUBS)]
     hubs = materialize(large.groupBy("key").agg(F.array_distinct(F.array(*lots)).alias("hubs"), F.count(F.lit(1)).alias("m")))
-    starred = join_stats(large.select("key", "id"), hubs, ["key"], "m").select("key", F.explode("hubs").alias("hub"), "id").filter("hub <> id")
+    starred = join_stats(large.select("band", "key", "id"), hubs, ["key"], "m").select("band", "key", F.explode("hubs").alias("hub"), "id").filter("hub <> id")
     return pairs, materialize(starred)
 
 
+def _unlinked(starred: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, key, id) of the texts that no hub of their bucket took in; hubs are done."""
+    pair = [F.least("hub", "id") == F.col("a"), F.greatest("hub", "id") == F.col("b")]
+    taken = starred.join(links, pair, "left_semi").select("key", "id")
+    gone = taken.unionByName(starred.select("key", F.col("hub").alias("id"))).distinct()
+    return starred.select("band", "key", "id").distinct().join(gone, ["key", "id"], "left_anti")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
     """The distinct pairs (a, b) whose sets reach the threshold."""
     kind = arrow_type(pairs.schema["a"].dataType)
@@ -195,8 +192,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: f
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     left = materialize(with_sigs.select("a", "b", "sa", "sb").mapInArrow(prune, schema))
-    named = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(source.join(named, "id", "left_semi").dropDuplicates(["id"]))
+    named = materialize(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = materialize(sift(source, named, "id").dropDuplicates(["id"]))
     with_texts = _attach(_attach(left, texts, "a", "_text", "ta"), texts, "b", "_text", "tb")
 
     def verify(batches):
@@ -230,20 +227,18 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: f
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected group of the links (a, b). Labels and their labels' labels
     are lowered until nothing changes, in about log(diameter) rounds."""
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    both = materialize(both.distinct())
-    degree = both.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-    labels = materialize(degree.select(F.col("dst").alias("id"), F.col("dst").alias("root"), "n"))
+    both = materialize(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
+    labels = materialize(both.groupBy(F.col("src").alias("id")).agg(F.least("src", F.min("dst")).alias("root")))
     while True:
-        near = join_stats(both, labels.select(F.col("id").alias("dst"), "root", "n"), ["dst"], "n").groupBy("src").agg(F.min("root").alias("low"))
-        lowered = labels.join(near, labels["id"] == near["src"]).select("id", "n", F.col("root").alias("was"), F.least("root", "low").alias("root"))
-        # pointer jump: take the label of one's label; few labels stand for many ids, hence the counts
-        groups = lowered.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-        parents = groups.join(labels.select(F.col("id").alias("root"), F.col("root").alias("up")), "root")
-        new = materialize(join_stats(lowered, parents, ["root"], "m").select("id", "n", "was", F.least("root", "up").alias("root")))
-        labels = new.select("id", "root", "n")
+        # a hub's links and a large group's labels are split by the adaptive skew join, and shrink in the map-side minimum
+        of = labels.select(F.col("id").alias("dst"), "root")
+        near = both.join(of, "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("low"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        jumped = labels.join(up, "root").join(near, "id")
+        new = materialize(jumped.select("id", F.col("root").alias("was"), F.least("root", "low", "up").alias("root")))
+        labels = new.select("id", "root")
         if new.filter("was <> root").isEmpty():
-            return labels.select("id", "root")
+            return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -254,27 +249,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         described.groupBy("k1", "k2").agg(F.min(F.struct("id", "sig")).alias("r"), F.count(F.lit(1)).alias("n_copies")).select("k1", "k2", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), "n_copies")
     )
     reps = classes.select("id", "sig")
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + j] for j in range(ROWS)]) for b in range(HASHES // ROWS)])
-    members = reps.select(F.explode(bands).alias("key"), "id")
+    n_bands = HASHES // ROWS
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + j] for j in range(ROWS)]) for b in range(n_bands)])
+    members = reps.select(F.posexplode(bands).alias("band", "key"), "id")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("_text"))
 
     links = None
-    round_no = 0
-    while True:
-        pairs, starred = _candidates(members, round_no)
+    for level in (1, 2, 3):
+        pairs, starred = _candidates(members, last=level == 3)
         asked = pairs if starred is None else pairs.unionByName(starred.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")))
         found = _verified(materialize(asked.distinct()), reps, source, threshold)
         links = found if links is None else links.unionByName(found).distinct()
         if starred is None:
             break
-        # texts of large buckets that no hub of the bucket took in
-        pair = [F.least("hub", "id") == F.col("a"), F.greatest("hub", "id") == F.col("b")]
-        taken = starred.join(found, pair, "left_semi").select("key", "id")
-        gone = taken.unionByName(starred.select("key", F.col("hub").alias("id"))).distinct()
-        members = materialize(starred.select("key", "id").distinct().join(gone, ["key", "id"], "left_anti"))
-        round_no += 1
-        if members.isEmpty():
+        left = materialize(_unlinked(starred, found))
+        if left.isEmpty():
             break
+        if level == 1:
+            finer = [F.struct(F.col("band"), F.xxhash64("key", F.element_at("bands", (F.col("band") + j) % n_bands + 1)).alias("key")) for j in range(1, FINER + 1)]
+            keyed = left.join(reps.select("id", bands.alias("bands")), "id").select("id", F.explode(F.array(*finer)).alias("_f"))
+            left = keyed.select("_f.band", "_f.key", "id")
+        members = materialize(left)
     links = materialize(links)
     roots = components(links)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
