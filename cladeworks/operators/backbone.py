@@ -165,7 +165,7 @@ def basionym_groups(backbone: DataFrame) -> DataFrame:
     Names of one stemmed epithet whose bracket author is the original's author. Groups by family and epithet
     are small, and the comparison is not transitive, so pairs of a recombination and an original are compared.
     """
-    parsed = with_family(backbone).withColumn("p", parse_name(F.col("name")))
+    parsed = materialize(with_family(backbone).withColumn("p", parse_name(F.col("name"))))
     epithet = F.coalesce("p.infra_specific_epithet", "p.specific_epithet")
     named = parsed.filter(epithet.isNotNull()).select(
         "id", "family", stem_epithet(epithet).alias("stem"), F.col("p.authorship").alias("author"), F.col("p.year").alias("y"), F.col("p.bracket_authorship").alias("bauthor"), F.col("p.bracket_year").alias("by")
@@ -284,9 +284,10 @@ def build(spark: SparkSession, sources: Sequence[DataFrame], **rules) -> DataFra
     """The whole build over sources of eight columns, best first."""
     backbone, next_id = materialize(seed(spark)), len(KINGDOMS)
     for i, rows in enumerate(sources, 1):
-        backbone, next_id = add_source(backbone, usable(parsed_source(rows), **rules), i, next_id)
+        parsed = materialize(parsed_source(rows))
+        backbone, next_id = add_source(backbone, materialize(usable(parsed, **rules)), i, next_id)
     backbone, next_id = implicit_parents(backbone, next_id)
-    backbone = materialize(consolidate(backbone, basionym_groups(backbone)))
+    backbone = materialize(consolidate(backbone, materialize(basionym_groups(backbone))))
     backbone, next_id = ex_author_synonyms(backbone, next_id)
     backbone, next_id = autonyms(backbone, next_id)
     return materialize(flagged(backbone))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clean, first_parsable, media_type, mime_type, page_as_reference, split_values
 from ..functions.names import parse_name
 from ..functions.ranks import ORDINAL
+from ..sources.tables import materialize
 from .tree import flatten_synonyms, from_ranks, metrics, parents_to_accepted
 
 STATUS = {k: k for k in ("ACCEPTED", "DOUBTFUL", "SYNONYM", "MISAPPLIED")} | {"VALID": "ACCEPTED", "HOMOTYPICSYNONYM": "HOMOTYPIC_SYNONYM", "HETEROTYPICSYNONYM": "HETEROTYPIC_SYNONYM", "PROPARTESYNONYM": "PROPARTE_SYNONYM", "INVALID": "SYNONYM"}
@@ -86,12 +87,15 @@ def normalize(core: DataFrame) -> dict[str, DataFrame]:
     Steps: parse values; resolve relations, making placeholders; build missing higher taxa from classification
     columns; flatten synonym chains; move children of synonyms.
     """
-    u = usages(core)
+    u = materialize(usages(core))
     links = pro_parte(u)
     u = u.withColumn("accepted_id", F.element_at(F.concat(split_values(F.col("accepted_ids")), F.array(F.lit(None).cast("string"))), 1))
     u = resolve(u, "accepted_id", "accepted_name", "ACCEPTED_NAME_MISSING", "accepted")
+    u = materialize(u)
     u = resolve(u, "parent_id", "parent_name", "PARENT_NAME_USAGE_ID_INVALID", "parent")
+    u = materialize(u)
     u = resolve(u, "original_id", "original_name", "ORIGINAL_NAME_USAGE_ID_INVALID", "basionym")
+    u = materialize(u)
     extra = None
     for column in ("accepted", "parent"):
         made = placeholders(u, column)
@@ -104,11 +108,12 @@ def normalize(core: DataFrame) -> dict[str, DataFrame]:
     placed = leaves.filter("parent is not null").select(F.col("id").alias("_lid"), text("parent").alias("_lp"))
     u = u.join(placed, F.col("id") == F.col("_lid"), "left").withColumn("parent", F.coalesce("parent", "_lp")).drop("_lid", "_lp")
     u = u.unionByName(higher, allowMissingColumns=True).withColumn("origin", F.coalesce("origin", F.lit("SOURCE"))).withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
-    u = flatten_synonyms(u)
+    u = flatten_synonyms(materialize(u))
     u = u.withColumn("issues", F.when(F.col("was_chained"), F.array_union("issues", F.array(F.lit("CHAINED_SYNOYM")))).otherwise(F.col("issues"))).drop("was_chained")
     u = parents_to_accepted(u)
     u = u.withColumn("is_synonym", F.col("accepted").isNotNull()).withColumn("status", F.coalesce("status", F.when(F.col("accepted").isNotNull(), F.lit("SYNONYM")).otherwise(F.lit("ACCEPTED"))))
     u = u.withColumn("parent", F.when(F.col("is_synonym"), F.col("accepted")).otherwise(F.col("parent")))
+    u = materialize(u)
     return {"usages": u, "pro_parte": links, "metrics": metrics(u.withColumn("rank", F.coalesce("rank", F.lit("UNRANKED"))), synonym="is_synonym")}
 
 

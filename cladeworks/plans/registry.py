@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, hierarchy, names, relational
+from . import analytics, checklists, hierarchy, names, relational
 
-_MODULES = (relational, analytics, hierarchy, names)
+_MODULES = (relational, analytics, hierarchy, names, checklists)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in _MODULES:
