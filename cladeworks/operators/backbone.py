@@ -247,6 +247,17 @@ def flagged(backbone: DataFrame) -> DataFrame:
     return out.withColumns({"issues": F.array_union("issues", issues), "status": F.when(F.col("_dup"), "DOUBTFUL").otherwise(F.col("status"))}).select(*backbone.columns)
 
 
+def doubt_subtrees(backbone: DataFrame, heads: DataFrame, issue: str = "HOMONYM") -> DataFrame:
+    """Rows that are excluded homonyms, (name, kingdom) in ``heads``, and all accepted rows below them become doubtful."""
+    from .tree import descendants
+
+    top = backbone.join(heads.select(F.col("name").alias("canonical"), "kingdom"), ["canonical", "kingdom"], "left_semi").select("id")
+    below = descendants(backbone, top, include_self=True).select(F.col("id").alias("_did")).distinct()
+    out = backbone.join(below, F.col("id") == F.col("_did"), "left")
+    hit = F.col("_did").isNotNull() & ~F.col("is_synonym")
+    return out.withColumns({"status": F.when(hit, "DOUBTFUL").otherwise(F.col("status")), "issues": F.when(hit, F.array_union("issues", F.array(F.lit(issue)))).otherwise(F.col("issues"))}).select(*backbone.columns)
+
+
 def stable_ids(backbone: DataFrame, previous: DataFrame, start: int) -> DataFrame:
     """(id, stable, reissued): ids of the previous backbone for names that it had, new ones for others.
 

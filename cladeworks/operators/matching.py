@@ -250,6 +250,20 @@ def exact_lookup(queries: DataFrame, usages: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(F.min_by("u.key", F.struct(place.alias("p"), F.col("u.key"))).alias("key"))
 
 
+def tidy_higher(queries: DataFrame, synonyms: DataFrame, blacklist: Sequence[str] = (), ranks: Sequence[str] = tuple(HIGHER)) -> DataFrame:
+    """Higher names of queries in their accepted spelling: ``synonyms`` is (rank, name, accepted), names compared in
+    upper case with only letters. Blacklisted names become null."""
+    norm = lambda c: F.nullif(F.trim(F.upper(F.regexp_replace(c, r"[^\p{L}]+", " "))), F.lit(""))
+    banned = [b.upper() for b in blacklist]
+    out = queries
+    for r in (r for r in ranks if r in queries.columns):
+        side = synonyms.filter(F.lower("rank") == r).select(norm(F.col("name")).alias("_n"), F.col("accepted").alias("_a")).dropDuplicates(["_n"])
+        joined = out.join(side, norm(F.col(r)) == F.col("_n"), "left")
+        value = F.coalesce("_a", r)
+        out = joined.withColumn(r, F.when(norm(value).isin(*banned), F.lit(None)).otherwise(value) if banned else value).drop("_n", "_a")
+    return out
+
+
 def inherit(closure: DataFrame, matched: DataFrame, value: str) -> DataFrame:
     """(id, value): what the nearest matched ancestor says; ``closure`` is (id, ancestor, depth)."""
     known = matched.filter(F.col(value).isNotNull()).select(F.col("id").alias("ancestor"), value)

@@ -160,3 +160,14 @@ def test_writes(spark):
     out = {r.id: r.deleted for r in relational.delete_keys(df, df.filter("id > 1"), "id", 10, F.lit("now")).collect()}
     assert out == {1: None, 2: "now"}
     assert [r.id for r in relational.next_ids(df.drop("id"), ["v"], 100).orderBy("v").collect()] == [100, 101, 102]
+
+
+def test_higher_names_and_doubtful_subtrees(spark):
+    q = spark.createDataFrame([(1, "metazoa"), (2, "incertae"), (3, "Plantae"), (4, None)], "qid long, kingdom string")
+    syn = spark.createDataFrame([("KINGDOM", "Metazoa", "Animalia")], "rank string, name string, accepted string")
+    got = {r.qid: r.kingdom for r in matching.tidy_higher(q, syn, ["INCERTAE"]).collect()}
+    assert got == {1: "Animalia", 2: None, 3: "Plantae", 4: None}
+    rows = usages(spark).select("id", "parent", "rank", "name", F.col("name").alias("canonical"), "is_synonym", F.lit("ACCEPTED").alias("status"), F.lit("ANIMALIA").alias("kingdom"), F.array().cast("array<string>").alias("issues"))
+    heads = spark.createDataFrame([("Sciurus vulgaris", "ANIMALIA")], "name string, kingdom string")
+    doubtful = {r.id for r in backbone.doubt_subtrees(rows, heads).filter("status = 'DOUBTFUL'").collect()}
+    assert doubtful == {4, 6}
