@@ -46,6 +46,8 @@ TOLERANCE = 1e-3
 PAIR_LIMIT = 32
 HUBS = 4
 FINER = 8
+#: Shingles that a verifying task remembers before it starts afresh: 16 MB; it only costs time.
+CACHED_SHINGLES = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(2024))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -197,7 +199,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: f
     with_texts = _attach(_attach(left, texts, "a", "_text", "ta"), texts, "b", "_text", "tb")
 
     def verify(batches):
-        cache: dict[str, np.ndarray] = {}
+        cache: dict[object, np.ndarray] = {}
+        held = 0
         for batch in batches:
             for part in slices(batch, "tb"):
                 ids_a, ids_b = part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -206,10 +209,12 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: f
                     for i, x in zip(ids, column.to_pylist()):
                         if i not in cache:
                             fresh[i] = x
-                if len(cache) > 2000:
+                if held > CACHED_SHINGLES:
                     cache.clear()
+                    held = 0
                     fresh = dict(zip(ids_a, part.column(2).to_pylist())) | dict(zip(ids_b, part.column(3).to_pylist()))
                 flat, counts = shingles(list(fresh.values()))
+                held += len(flat)
                 for i, rows in zip(fresh, np.split(flat, np.cumsum(counts)[:-1])):
                     cache[i] = np.unique(rows)
                 good_a, good_b = [], []
