@@ -7,14 +7,16 @@ values are then compared ``BATCH`` at a time. With m of n equal, the similarity
 Beta(m + 1, n - m + 1), and once the probability of reaching the threshold is below ``TOLERANCE`` the
 pair is dropped. The rest is verified exactly on the sets. Verified links are joined to groups.
 
-Large buckets. In a bucket of up to ``PAIR_LIMIT`` texts all pairs are candidates. In a larger one each
-text is compared with ``HUBS`` texts of the bucket, so a group of near copies costs one link for each
-member. Texts that link to no hub there share the band for some other reason, mostly a common
-passage. They go on to finer buckets, which need a second band in common (``FINER`` of them are tried).
-What is large even there and links to no hub is compared pair by pair, so nothing is dropped.
+Large buckets. In a bucket of up to ``PAIR_LIMIT`` texts all pairs are candidates that are joined to their
+texts. In a larger one all pairs are candidates as well, but they are never rows: the texts are dealt to
+blocks, each two blocks meet in one task, and that task compares, prunes and verifies all pairs between
+them. It gives one row for each text that has a link there: the number of its links and one text of its
+group. So that a pair counts once, it belongs to the first band where both are in one large bucket, and
+only if there is none to the small buckets. Blocks are bounded by texts and by shingles. The time of a
+large bucket grows with the square of its texts, as the number of links itself may.
 
 Skew. Exact copies are counted before any shuffle. Hot classes and buckets are found by counting and
-spread by salts; the pairs of a hub and the members of a large group are split by the adaptive join.
+spread by salts; the members of a large group are split by the adaptive join.
 
 Result: one row for each input row with its group (``class_id``, the least id in it), the
 representative of its text (``text_id``), ``n_copies`` (rows with equal words) and ``n_links``
@@ -44,8 +46,9 @@ ROWS = 3
 BATCH = 8
 TOLERANCE = 1e-3
 PAIR_LIMIT = 32
-HUBS = 4
-FINER = 8
+#: Texts and shingles in a block of a large bucket, on average; they bound a task's memory and never change a result.
+BLOCK = 1024
+BLOCK_SHINGLES = 1_000_000
 #: Shingles that a verifying task remembers before it starts afresh: 16 MB; it only costs time.
 CACHED_SHINGLES = 2_000_000
 
@@ -127,9 +130,9 @@ def surviving(a: np.ndarray, b: np.ndarray, needed: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k1, k2, sig) of the rows that have words and an id."""
+    """(id, k1, k2, sig, size) of the rows that have words and an id; size is the number of shingles."""
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("_text")).filter("id is not null and _text is not null")
-    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("k1 long, k2 long, sig array<int>").fields])
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("k1 long, k2 long, sig array<int>, size long").fields])
 
     def run(batches):
         for batch in batches:
@@ -139,58 +142,123 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 k1, k2 = text_keys(flat, counts)
                 some = np.flatnonzero(counts)
                 values = pa.FixedSizeListArray.from_arrays(pa.array(sig[some].ravel()), HASHES).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(k1[some]), pa.array(k2[some]), values], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(k1[some]), pa.array(k2[some]), values, pa.array(counts[some], pa.int64())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def _attach(pairs: DataFrame, table: DataFrame, key: str, value: str, named: str) -> DataFrame:
-    """Add ``value`` of ``table`` (by id) for the id in ``key``. A hub has many pairs: the adaptive skew join
-    splits its pairs over tasks and sends its one row to each."""
+    """Add ``value`` of ``table`` (by id) for the id in ``key``. Where an id has many pairs, the adaptive skew
+    join splits them over tasks and sends its one row to each."""
     return pairs.join(table.select(F.col("id").alias("_id"), F.col(value).alias(named)), F.col(key) == F.col("_id")).drop("_id")
 
 
-def _candidates(members: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """From (band, key, id) rows: all pairs (a, b) of small buckets, and (band, key, hub, id) of large ones, if any."""
+def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """From (band, key, id) rows: all pairs (a, b) of small buckets, and (band, key, id) of large ones, if any."""
     sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = materialize(join_stats(members, sizes, ["key"], "n"))
-    if last:
-        left, right = shared.select("key", F.col("id").alias("a")), shared.select("key", F.col("id").alias("b"))
-        return left.join(right, "key").filter("a < b").select("a", "b"), None
     small = shared.filter(F.col("n") <= PAIR_LIMIT).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     at = F.posexplode("ids").alias("i", "a")
     pairs = small.select("ids", at).select("a", F.explode(F.slice("ids", F.col("i") + 2, F.lit(PAIR_LIMIT))).alias("b"))
-    large = shared.filter(F.col("n") > PAIR_LIMIT)
-    if large.isEmpty():
-        return pairs, None
-    lots = [F.min(F.struct(F.xxhash64(F.lit(i), "key", "id"), "id"))["id"] for i in range(HUBS)]
-    hubs = materialize(large.groupBy("key").agg(F.array_distinct(F.array(*lots)).alias("hubs"), F.count(F.lit(1)).alias("m")))
-    starred = join_stats(large.select("band", "key", "id"), hubs, ["key"], "m").select("band", "key", F.explode("hubs").alias("hub"), "id").filter("hub <> id")
-    return pairs, materialize(starred)
+    large = shared.filter(F.col("n") > PAIR_LIMIT).select("band", "key", "id")
+    return pairs, None if large.isEmpty() else large
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One number for each band of each signature; equal where the bands are."""
+    columns = sig[:, :HASHES].astype(np.int64).view(np.uint64)
+    return np.stack([mix([columns[:, b + j] for j in range(ROWS)]) for b in range(0, HASHES, ROWS)], axis=1)
+
+
+def large_bands(sig: np.ndarray) -> np.ndarray:
+    """Which bands of each text are large buckets, from the bits behind its signature."""
+    return (sig[:, HASHES, None] >> np.arange(HASHES // ROWS, dtype=np.int32)) & 1 == 1
+
+
+def block_links(band: int, sig: np.ndarray, texts: list[str], side: np.ndarray | None, needed: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Number of links of each text, and the place of one text of its group, from all pairs of a large bucket's block.
+
+    With ``side`` only pairs of a False and a True text are asked. Pairs that an earlier large bucket has are left to it.
+    """
+    keys, large = band_keys(sig), large_bands(sig)
+    pairs: dict[int, np.ndarray] = {}
+    others = None if side is None else np.flatnonzero(side)
+    for i in range(len(sig)) if side is None else np.flatnonzero(~side):
+        js = np.arange(i + 1, len(sig)) if others is None else others
+        js = js[~((keys[js, :band] == keys[i, :band]) & large[i, :band]).any(axis=1)]
+        js = js[surviving(np.broadcast_to(sig[i, :HASHES], (len(js), HASHES)), sig[js, :HASHES], needed)]
+        if len(js):
+            pairs[i] = js
+    links, group = np.zeros(len(sig), np.int64), np.arange(len(sig))
+    if not pairs:
+        return links, group
+    some = np.unique(np.concatenate([np.fromiter(pairs, np.int64), *pairs.values()]))
+    flat, counts = shingles([texts[i] for i in some])
+    names, flat = np.unique(flat, return_inverse=True)
+    sets = [np.unique(x) for x in np.split(flat, np.cumsum(counts)[:-1])]
+    size = np.zeros(len(sig), np.int64)
+    size[some] = [len(x) for x in sets]
+    of = dict(zip(some.tolist(), sets))
+    mark = np.zeros(len(names), bool)
+    for i, js in pairs.items():
+        js = js[np.minimum(size[i], size[js]) >= threshold * np.maximum(size[i], size[js])]
+        mark[of[i]] = True
+        both = np.fromiter((np.count_nonzero(mark[of[j]]) for j in js.tolist()), np.int64, len(js))
+        mark[of[i]] = False
+        js = js[both >= threshold * (size[i] + size[js] - both)]
+        links[i] += len(js)
+        links[js] += 1
+        met = np.unique(np.append(group[js], group[i]))
+        if len(met) > 1:
+            group[np.isin(group, met)] = met[0]
+    return links, group
+
+
+def _block_links(large: DataFrame, reps: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
+    """(id, other, n): n links of the text in one task of a large bucket, and one text of its group there."""
+    named = large.select("id").distinct()
+    texts = materialize(sift(source, named, "id").dropDuplicates(["id"]).join(reps, "id"))
+    sized = large.join(texts.select("id", "size"), "id")
+    blocks = materialize(
+        sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    )
+    dealt = join_stats(large, blocks, ["key"], "n").withColumn("at", F.pmod(F.xxhash64("key", "id"), F.col("blocks")).cast("int"))
+    tasks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = tasks.select("band", "key", "at", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "id")
+    needed = needed_matches(threshold)
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("other", source.schema["id"].dataType), T.StructField("n", T.LongType())])
 
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(-1, HASHES + 1)
+        side = None if lo == hi else table.column("at").to_numpy() == hi
+        links, group = block_links(table.column("band")[0].as_py(), sig, table.column("_text").to_pylist(), side, needed, threshold)
+        some = np.flatnonzero(links)
+        ids = table.column("id").combine_chunks()
+        return pa.table([ids.take(pa.array(some)), ids.take(pa.array(group[some])), pa.array(links[some])], names=schema.names)
 
-def _unlinked(starred: DataFrame, links: DataFrame) -> DataFrame:
-    """(band, key, id) of the texts that no hub of their bucket took in; hubs are done."""
-    pair = [F.least("hub", "id") == F.col("a"), F.greatest("hub", "id") == F.col("b")]
-    taken = starred.join(links, pair, "left_semi").select("key", "id")
-    gone = taken.unionByName(starred.select("key", F.col("hub").alias("id"))).distinct()
-    return starred.select("band", "key", "id").distinct().join(gone, ["key", "id"], "left_anti")
+    ready = tasks.join(texts.select("id", "sig", "_text"), "id")
+    return materialize(ready.groupBy("key", "lo", "hi").applyInArrow(run, schema))
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
-    """The distinct pairs (a, b) whose sets reach the threshold."""
+    """The distinct pairs (a, b) whose sets reach the threshold, without those that share a large bucket."""
     kind = arrow_type(pairs.schema["a"].dataType)
     with_sigs = _attach(_attach(pairs, reps, "a", "sig", "sa"), reps, "b", "sig", "sb")
     needed = needed_matches(threshold)
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def matrix(column) -> np.ndarray:
-        return np.asarray(column.flatten()).reshape(-1, HASHES)
+        return np.asarray(column.flatten()).reshape(-1, HASHES + 1)
 
     def prune(batches):
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(surviving(matrix(batch.column(2)), matrix(batch.column(3)), needed))
+                x, y = matrix(batch.column(2)), matrix(batch.column(3))
+                keep = surviving(x[:, :HASHES], y[:, :HASHES], needed)
+                some = np.flatnonzero(keep & (x[:, HASHES] & y[:, HASHES] != 0))
+                keep[some] = ~((band_keys(x[some]) == band_keys(y[some])) & large_bands(x[some])).any(axis=1)
+                keep = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     left = materialize(with_sigs.select("a", "b", "sa", "sb").mapInArrow(prune, schema))
@@ -251,33 +319,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     described = _described(docs, id_col, text_col)
     classes = materialize(
-        described.groupBy("k1", "k2").agg(F.min(F.struct("id", "sig")).alias("r"), F.count(F.lit(1)).alias("n_copies")).select("k1", "k2", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), "n_copies")
+        described.groupBy("k1", "k2").agg(F.min(F.struct("id", "sig", "size")).alias("r"), F.count(F.lit(1)).alias("n_copies")).select("k1", "k2", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.size").alias("size"), "n_copies")
     )
-    reps = classes.select("id", "sig")
+    reps = classes.select("id", "sig", "size")
     n_bands = HASHES // ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + j] for j in range(ROWS)]) for b in range(n_bands)])
     members = reps.select(F.posexplode(bands).alias("band", "key"), "id")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("_text"))
 
-    links = None
-    for level in (1, 2, 3):
-        pairs, starred = _candidates(members, last=level == 3)
-        asked = pairs if starred is None else pairs.unionByName(starred.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")))
-        found = _verified(materialize(asked.distinct()), reps, source, threshold)
-        links = found if links is None else links.unionByName(found).distinct()
-        if starred is None:
-            break
-        left = materialize(_unlinked(starred, found))
-        if left.isEmpty():
-            break
-        if level == 1:
-            finer = [F.struct(F.col("band"), F.xxhash64("key", F.element_at("bands", (F.col("band") + j) % n_bands + 1)).alias("key")) for j in range(1, FINER + 1)]
-            keyed = left.join(reps.select("id", bands.alias("bands")), "id").select("id", F.explode(F.array(*finer)).alias("_f"))
-            left = keyed.select("_f.band", "_f.key", "id")
-        members = materialize(left)
-    links = materialize(links)
+    pairs, large = _candidates(members)
+    bits = F.lit(0) if large is None else F.coalesce("large", F.lit(0))
+    if large is not None:
+        reps = reps.join(large.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, band)")).alias("large")), "id", "left")
+    reps = reps.select("id", F.concat("sig", F.array(bits)).alias("sig"), "size")
+    if large is not None:
+        reps = materialize(reps)
+    links = _verified(materialize(pairs.distinct()), reps, source, threshold)
+    counts = links.select(F.col("a").alias("id"), F.lit(1).cast("long").alias("n")).unionByName(links.select(F.col("b").alias("id"), F.lit(1).cast("long").alias("n")))
+    if large is not None:
+        blocks = _block_links(large, reps, source, threshold)
+        counts = counts.unionByName(blocks.select("id", "n"))
+        links = links.unionByName(blocks.select(F.col("id").alias("a"), F.col("other").alias("b")).filter("a <> b"))
     roots = components(links)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = counts.groupBy("id").agg(F.sum("n").alias("n_links"))
     per_text = classes.select("k1", "k2", F.col("id").alias("text_id"), "n_copies").join(
         roots.join(ends, "id").select(F.col("id").alias("text_id"), "root", "n_links"), "text_id", "left"
     )

@@ -136,6 +136,36 @@ def test_near_duplicates(spark, monkeypatch, limit):
         assert got == want
 
 
+def reached_links(texts):
+    """By brute force, all pairs that share a band, outlive the pruning and reach the threshold."""
+    flat, counts = near_duplicates.shingles(texts)
+    sig, needed = near_duplicates.signatures(flat, counts), near_duplicates.needed_matches(near_duplicates.THRESHOLD)
+    bands = sig.reshape(len(texts), -1, near_duplicates.ROWS)
+    sets = [set(x.tolist()) for x in np.split(flat, np.cumsum(counts)[:-1])]
+    links = []
+    for i in range(len(texts)):
+        js = np.flatnonzero((bands[i + 1 :] == bands[i]).all(axis=2).any(axis=1)) + i + 1
+        for j in js[near_duplicates.surviving(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], needed)]:
+            if (both := len(sets[i] & sets[j])) >= near_duplicates.THRESHOLD * (len(sets[i]) + len(sets[j]) - both):
+                links.append((i, int(j)))
+    return links
+
+
+def test_near_duplicates_of_a_star(spark):
+    r = random.Random(61)
+    seed = prose(r, 120).split()
+    texts = [" ".join(seed)]
+    for _ in range(1000):
+        w = list(seed)
+        for place in r.sample(range(0, 120, 2), 12):
+            w[place] = prose(r, 1) + "q"
+        texts.append(" ".join(w))
+    links = reached_links(texts)
+    got = {x.doc_id: x for x in near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(a == 0 for a, _ in links) > 900
+    assert {got[b].class_id for a, b in links if a == 0} == {0}
+
+
 def test_near_duplicates_defined_cases(spark, docs, empty):
     rows = near_duplicates.near_duplicates(docs).collect()
     assert len(rows) == docs.count() and {r.class_id for r in rows if r.doc_id in (1, 8)} == {1} and {r.n_copies for r in rows if r.doc_id == 1} == {2}
