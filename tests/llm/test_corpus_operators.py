@@ -166,6 +166,22 @@ def test_near_duplicates_of_a_star(spark):
     assert {got[b].class_id for a, b in links if a == 0} == {0}
 
 
+def test_near_duplicates_that_share_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PAIR_LIMIT", 8)
+    r = random.Random(62)
+    passage, texts = prose(r, 60), []
+    for _ in range(600):
+        own = prose(r, 60).split()
+        for _ in range(2):
+            w = list(own)
+            for place in r.sample(range(0, 60, 4), 6):
+                w[place] = prose(r, 1) + "q"
+            texts.append(passage + " " + " ".join(w))
+    links = reached_links(texts)
+    got = {x.doc_id: x for x in near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {(a, b) for a, b in links if got[a].class_id != got[b].class_id} == set()
+
+
 def test_near_duplicates_defined_cases(spark, docs, empty):
     rows = near_duplicates.near_duplicates(docs).collect()
     assert len(rows) == docs.count() and {r.class_id for r in rows if r.doc_id in (1, 8)} == {1} and {r.n_copies for r in rows if r.doc_id == 1} == {2}
