@@ -182,6 +182,20 @@ def test_near_duplicates_that_share_a_passage(spark, monkeypatch):
     assert {(a, b) for a, b in links if got[a].class_id != got[b].class_id} == set()
 
 
+def test_near_duplicates_count_all_links(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 100, raising=False)
+    r = random.Random(63)
+    seed, texts = prose(r, 80).split(), []
+    for _ in range(400):
+        w = list(seed)
+        w[r.randrange(80)] = prose(r, 1) + "q"
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    degree = Counter(itertools.chain.from_iterable(reached_links(texts)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_links for x in got} == {i: degree[i] for i in range(len(texts))}
+
+
 def test_near_duplicates_defined_cases(spark, docs, empty):
     rows = near_duplicates.near_duplicates(docs).collect()
     assert len(rows) == docs.count() and {r.class_id for r in rows if r.doc_id in (1, 8)} == {1} and {r.n_copies for r in rows if r.doc_id == 1} == {2}
