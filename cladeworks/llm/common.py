@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import materialize, shared_dir, ship
@@ -81,8 +83,6 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count: str, s
     1 / ``HOT_SHARE`` of the rows are at most ``HOT_SHARE`` by counting, so they are broadcast; their rows are
     spread by a salt and pass the shuffled join of the other keys.
     """
-    from pyspark.sql import functions as F
-
     total = stats.agg(F.sum(count)).first()[0] or 0
     values = [c for c in stats.columns if c not in keys]
     packed = F.struct(*values)
@@ -95,33 +95,29 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count: str, s
     return joined.filter(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in values])
 
 
-#: Bits of the bitmap by which rows are sifted before a semi-join: 8 MB at the workers, whatever the data.
+#: Bits of the bitmap by which rows are sifted before a join: 8 MB at the workers, whatever the data.
 SIFT_BITS = 1 << 26
 
 
-def sift(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Left semi-join on ``key`` that moves few unwanted rows: they are sifted by a bitmap of hashed keys first.
+class Bitmap:
+    """Which of ``SIFT_BITS`` residues occur among longs; says yes too often, never no by mistake."""
 
-    The bitmap has a fixed size. Many keys make it let more rows pass, never fewer, and the join decides.
-    """
-    import numpy as np
-    from pyspark.sql import functions as F
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
 
-    ship(rows.sparkSession)
-    at = F.pmod(F.xxhash64(key), F.lit(SIFT_BITS))
-    words = wanted.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(SIFT_BITS // 64, np.int64)
-    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    keyed = rows.select("*", at.alias("_at"))
+    def has(self, values: np.ndarray) -> np.ndarray:
+        p = values.astype(np.int64) & (SIFT_BITS - 1)
+        return (self.words[p >> 6] >> (p & 63)) & 1 == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(batch.num_columns - 1).to_numpy()
-            keep = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep))
 
-    return keyed.mapInArrow(run, rows.schema).join(wanted.select(key), key, "left_semi")
+def bitmap(wanted: DataFrame, value: Column):
+    """A broadcast ``Bitmap`` of a long column. Many values make it let more rows pass, never fewer."""
+    ship(wanted.sparkSession)
+    p = value.bitwiseAND(SIFT_BITS - 1)
+    found = wanted.select(p.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(SIFT_BITS // 64, np.int64)
+    words[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return wanted.sparkSession.sparkContext.broadcast(Bitmap(words))
 
 
 def filter_texts(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], object]) -> DataFrame:

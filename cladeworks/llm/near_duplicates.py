@@ -22,6 +22,9 @@ Result: one row for each input row with its group (``class_id``, the least id in
 representative of its text (``text_id``), ``n_copies`` (rows with equal words) and ``n_links``
 (different texts that it was verified against with success).
 
+Identity. Texts are told apart by 128 bits of their words and numbered; ids only name the result. Rows
+that share an id but not the text are different texts, and each of them keeps its own group.
+
 Defined cases: a row whose text is null or has no words is alone in its class; a null id is alone as
 well, with a null class; texts with less than ``SHINGLE`` words are one shingle; equal rows share a
 class; an empty table gives an empty result; only the id and the text are read.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import ship
-from .common import arrow_type, join_stats, materialize, sift, slices
+from .common import arrow_type, bitmap, join_stats, materialize, slices
 from .words import hashed, mix
 
 THRESHOLD = 0.5
@@ -147,6 +150,59 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k1, k2) of the rows that have words and an id; the texts stay where they are."""
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("_text")).filter("id is not null and _text is not null")
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("k1 long, k2 long").fields])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                flat, counts = shingles(part.column(1).to_pylist())
+                k1, k2 = text_keys(flat, counts)
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(k1[some]), pa.array(k2[some])], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """The rows with words and an id, all their columns in ``row``, by (k1, k2) of their texts.
+
+    Rows whose k1 is not in ``wanted`` are mostly sifted out by a bitmap of fixed size; the caller's join decides.
+    """
+    shared = bitmap(wanted, F.col("k1"))
+    at, source = docs.columns.index(text_col), docs.filter(docs[id_col].isNotNull() & docs[text_col].isNotNull())
+    schema = T.StructType([*T._parse_datatype_string("k1 long, k2 long").fields, T.StructField("row", T.StructType(docs.schema.fields))])
+    fields = list(arrow_type(schema["row"].dataType))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at]):
+                flat, counts = shingles(part.column(at).cast(pa.string()).to_pylist())
+                k1, k2 = text_keys(flat, counts)
+                some = np.flatnonzero((counts > 0) & shared.value.has(k1))
+                row = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(part.take(pa.array(some)).columns, fields)], fields=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(k1[some]), pa.array(k2[some]), row], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+class _Texts:
+    """Looks up texts by the numbers of their classes."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> None:
+        self.source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+        self.classes = classes.select(F.col("uid").alias("id"), "k1", "k2")
+
+    def of(self, named: DataFrame) -> DataFrame:
+        """(id, _text) of the classes in ``named``. Copies of a text shrink to one before the shuffle."""
+        wanted = materialize(self.classes.join(named.select("id"), "id", "left_semi"))
+        rows = keyed_rows(self.source, "id", "text", wanted)
+        one = rows.groupBy("k1", "k2").agg(F.first("row.text").alias("_text"))
+        return materialize(one.join(wanted, ["k1", "k2"]).select("id", "_text"))
+
+
 def _attach(pairs: DataFrame, table: DataFrame, key: str, value: str, named: str) -> DataFrame:
     """Add ``value`` of ``table`` (by id) for the id in ``key``. Where an id has many pairs, the adaptive skew
     join splits them over tasks and sends its one row to each."""
@@ -214,10 +270,10 @@ def block_links(band: int, sig: np.ndarray, texts: list[str], side: np.ndarray |
     return links, group
 
 
-def _block_links(large: DataFrame, reps: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
+def _block_links(large: DataFrame, reps: DataFrame, texts_of: _Texts, threshold: float) -> DataFrame:
     """(id, other, n): n links of the text in one task of a large bucket, and one text of its group there."""
     named = large.select("id").distinct()
-    texts = materialize(sift(source, named, "id").dropDuplicates(["id"]).join(reps, "id"))
+    texts = materialize(texts_of.of(named).join(reps, "id"))
     sized = large.join(texts.select("id", "size"), "id")
     blocks = materialize(
         sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -226,7 +282,7 @@ def _block_links(large: DataFrame, reps: DataFrame, source: DataFrame, threshold
     tasks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("band", "key", "at", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "id")
     needed = needed_matches(threshold)
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("other", source.schema["id"].dataType), T.StructField("n", T.LongType())])
+    schema = T._parse_datatype_string("id long, other long, n long")
 
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
@@ -241,7 +297,7 @@ def _block_links(large: DataFrame, reps: DataFrame, source: DataFrame, threshold
     return materialize(ready.groupBy("key", "lo", "hi").applyInArrow(run, schema))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, texts_of: _Texts, threshold: float) -> DataFrame:
     """The distinct pairs (a, b) whose sets reach the threshold, without those that share a large bucket."""
     kind = arrow_type(pairs.schema["a"].dataType)
     with_sigs = _attach(_attach(pairs, reps, "a", "sig", "sa"), reps, "b", "sig", "sb")
@@ -263,7 +319,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: f
 
     left = materialize(with_sigs.select("a", "b", "sa", "sb").mapInArrow(prune, schema))
     named = materialize(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = materialize(sift(source, named, "id").dropDuplicates(["id"]))
+    texts = texts_of.of(named)
     with_texts = _attach(_attach(left, texts, "a", "_text", "ta"), texts, "b", "_text", "tb")
 
     def verify(batches):
@@ -314,18 +370,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, class_id, text_id, n_copies, n_links for each input row; see the module's text."""
+def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each different text that has words and an id: k1, k2, text_id, n_copies, class_id, n_links, and
+    ``leads`` for the one text of each group that has the least (text_id, k1, k2)."""
     ship(docs.sparkSession)
     described = _described(docs, id_col, text_col)
     classes = materialize(
-        described.groupBy("k1", "k2").agg(F.min(F.struct("id", "sig", "size")).alias("r"), F.count(F.lit(1)).alias("n_copies")).select("k1", "k2", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.size").alias("size"), "n_copies")
-    )
-    reps = classes.select("id", "sig", "size")
+        described.groupBy("k1", "k2").agg(F.min(F.struct("id", "sig", "size")).alias("r"), F.count(F.lit(1)).alias("n_copies"))
+        .select("k1", "k2", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.size").alias("size"), "n_copies", F.monotonically_increasing_id().alias("uid"))
+    )
+    reps = classes.select(F.col("uid").alias("id"), "sig", "size")
     n_bands = HASHES // ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + j] for j in range(ROWS)]) for b in range(n_bands)])
     members = reps.select(F.posexplode(bands).alias("band", "key"), "id")
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("_text"))
+    texts_of = _Texts(docs, id_col, text_col, classes)
 
     pairs, large = _candidates(members)
     bits = F.lit(0) if large is None else F.coalesce("large", F.lit(0))
@@ -334,26 +392,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = reps.select("id", F.concat("sig", F.array(bits)).alias("sig"), "size")
     if large is not None:
         reps = materialize(reps)
-    links = _verified(materialize(pairs.distinct()), reps, source, threshold)
+    links = _verified(materialize(pairs.distinct()), reps, texts_of, threshold)
     counts = links.select(F.col("a").alias("id"), F.lit(1).cast("long").alias("n")).unionByName(links.select(F.col("b").alias("id"), F.lit(1).cast("long").alias("n")))
     if large is not None:
-        blocks = _block_links(large, reps, source, threshold)
+        blocks = _block_links(large, reps, texts_of, threshold)
         counts = counts.unionByName(blocks.select("id", "n"))
         links = links.unionByName(blocks.select(F.col("id").alias("a"), F.col("other").alias("b")).filter("a <> b"))
-    roots = components(links)
-    ends = counts.groupBy("id").agg(F.sum("n").alias("n_links"))
-    per_text = classes.select("k1", "k2", F.col("id").alias("text_id"), "n_copies").join(
-        roots.join(ends, "id").select(F.col("id").alias("text_id"), "root", "n_links"), "text_id", "left"
-    )
-    per_text = per_text.select("k1", "k2", "text_id", "n_copies", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = join_stats(described.select("id", "k1", "k2"), per_text, ["k1", "k2"], "n_copies")
-    lone = source.filter("id is null").select("id").unionByName(_wordless(docs, id_col, text_col))
+    named = classes.select("uid", F.col("id").alias("text_id"), "k1", "k2", "n_copies")
+    roots = materialize(components(links).select(F.col("id").alias("uid"), "root").join(named.select("uid", "text_id", "k1", "k2"), "uid"))
+    first = F.min(F.struct("text_id", "k1", "k2", "uid"))
+    groups = materialize(roots.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
+    grouped = join_stats(roots.select("uid", "root"), groups, ["root"], "n").select("uid", "first").join(counts.groupBy(F.col("id").alias("uid")).agg(F.sum("n").alias("n_links")), "uid")
+    return named.join(grouped, "uid", "left").select(
+        "k1", "k2", "text_id", "n_copies", F.coalesce("first.text_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce(F.col("first.uid") == F.col("uid"), F.lit(True)).alias("leads"),
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, class_id, text_id, n_copies, n_links for each input row; see the module's text."""
+    per_text = materialize(text_groups(docs, id_col, text_col, threshold).drop("leads"))
+    placed = join_stats(_keyed(docs, id_col, text_col), per_text, ["k1", "k2"], "n_copies")
+    lone = docs.filter(_alone(docs, id_col, text_col)).select(docs[id_col].alias("id"))
     return placed.select(F.col("id").alias(id_col), "class_id", "text_id", "n_copies", "n_links").unionByName(
         lone.select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.col("id").alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     )
 
 
-def _wordless(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids of the rows without any word, by the same rule as ``words``."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each group, with all its columns: of the group's leading text the row with the least id.
+
+    Rows without an id or without words are in no group, and all of them stay. Of rows that share the id and
+    the words one stays: that with the least text, then with the least hash of the other columns.
+    """
+    leaders = materialize(text_groups(docs, id_col, text_col, threshold).filter("leads").select("k1", "k2"))
+    rows = keyed_rows(docs, id_col, text_col, leaders)
+    plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    order = F.struct(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"), F.xxhash64(*plain))
+    one = rows.groupBy("k1", "k2").agg(F.min_by("row", order).alias("row")).join(leaders, ["k1", "k2"], "left_semi")
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.filter(_alone(docs, id_col, text_col)))
+
+
+def _alone(docs: DataFrame, id_col: str, text_col: str):
+    """Rows without an id, or without any word by the same rule as ``words``."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.filter(docs[id_col].isNotNull() & ~text.rlike(r"[A-Za-z0-9]|[^\x00-\x7F]")).select(docs[id_col].alias("id"))
+    return docs[id_col].isNull() | ~text.rlike(r"[A-Za-z0-9]|[^\x00-\x7F]")

@@ -16,7 +16,7 @@ from cladeworks.llm.bpe import OUTPUTS as BPE_OUTPUTS
 from cladeworks.llm.bpe import digests
 from cladeworks.llm.common import filter_texts, replace_texts, shared_dir, text_map
 from cladeworks.llm.decontamination import clean_rows
-from cladeworks.llm.near_duplicates import near_duplicates
+from cladeworks.llm.near_duplicates import keep_one
 from cladeworks.llm.pii import redact, trained
 from cladeworks.llm.quality_rules import judge
 from cladeworks.sources.tables import read_table
@@ -32,11 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id.
 
-    Rows without an id are never in a group and stay. Of rows that share id and text one stays.
+    Rows without an id are never in a group and stay. Of rows that share id and words one stays; rows that
+    share only the id are different documents.
     """
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    unique = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return unique.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
