@@ -95,22 +95,29 @@ units AS (
   SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS place FROM pieces),
 sized AS (
   SELECT doc_id, place, u, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS unit,
-         sum(length(u)) OVER (PARTITION BY doc_id ORDER BY place) AS stop FROM units),
-worded AS (SELECT *, stop - length(u) AS start, len(string_split(unit, ' ')) AS words FROM sized WHERE unit <> ''),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, place) > 1 AS again,
-         row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM worded),
-islands AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM ranked WHERE again),
-runs AS (
-  SELECT doc_id, min(start)::BIGINT AS a, max(stop)::BIGINT AS b FROM islands GROUP BY doc_id, island HAVING sum(words) >= 8),
+         sum(length(u)) OVER w AS stop, sum((u LIKE '%' || chr(10))::INT) OVER w - (u LIKE '%' || chr(10))::INT AS line
+  FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+lines AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY string_agg(unit, ' ' ORDER BY place) ORDER BY doc_id, line) > 1 AS line_again
+  FROM sized WHERE unit <> '' GROUP BY doc_id, line),
+worded AS (
+  SELECT *, stop - length(u) AS start, len(string_split(unit, ' ')) AS words,
+         row_number() OVER (PARTITION BY unit ORDER BY doc_id, place) > 1 AS again, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k
+  FROM sized JOIN lines USING (doc_id, line) WHERE unit <> ''),
+islands AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, again ORDER BY k) AS island FROM worded),
+judged AS (SELECT *, line_again OR (again AND sum(words) OVER (PARTITION BY doc_id, again, island) >= 8) AS gone FROM islands),
+stretches AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM judged WHERE gone),
+runs AS (SELECT doc_id, min(start)::BIGINT AS a, max(stop)::BIGINT AS b, sum(words) AS words FROM stretches GROUP BY doc_id, stretch),
 lists AS (
-  SELECT doc_id, count(*)::INTEGER AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS removed, sum(b - a)::BIGINT AS n_chars_removed
+  SELECT doc_id, count(*)::INTEGER AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS removed, sum(b - a)::BIGINT AS n_chars_removed,
+         (count(*) FILTER (words >= 50))::INTEGER AS n_passages
   FROM runs GROUP BY doc_id),
 kept AS (
   SELECT s.doc_id, string_agg(u, '' ORDER BY place) AS rest FROM sized s
   WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = s.doc_id AND r.a <= s.stop - length(u) AND s.stop <= r.b) GROUP BY s.doc_id)
 SELECT d.doc_id, coalesce(len(p.us), 0)::INTEGER AS n_units, coalesce(l.n_removed, 0)::INTEGER AS n_removed, coalesce(l.removed, '') AS removed,
-       coalesce(l.n_chars_removed, 0)::BIGINT AS n_chars_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(k.rest, '') END AS text
+       coalesce(l.n_chars_removed, 0)::BIGINT AS n_chars_removed, coalesce(l.n_passages, 0)::INTEGER AS n_passages,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(k.rest, '') END AS text
 FROM documents d LEFT JOIN pieces p USING (doc_id) LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"

@@ -200,6 +200,21 @@ def test_near_duplicates_defined_cases(spark, docs, empty):
     rows = near_duplicates.near_duplicates(docs).collect()
     assert len(rows) == docs.count() and {r.class_id for r in rows if r.doc_id in (1, 8)} == {1} and {r.n_copies for r in rows if r.doc_id == 1} == {2}
     assert near_duplicates.near_duplicates(empty).count() == 0
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns and near_duplicates.keep_one(empty).count() == 0
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 9, 10, 11]
+
+
+def test_rows_that_share_an_id_are_different_texts(spark):
+    r = random.Random(64)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    near = " ".join([*a.split()[:57], "x", "y", "z"])
+    rows = [(7, a, "p"), (7, b, "q"), (7, b, "q"), (8, near, "r"), (9, c, "s"), (9, near, "t"), (None, a, "u"), (None, a, "u")]
+    d = spark.createDataFrame(rows, "id long, k1 string, text string").select("id", F.col("k1").alias("text"), F.col("text").alias("k1"))
+    got = sorted((x.id, x.class_id, x.n_copies, x.n_links) for x in near_duplicates.near_duplicates(d, "id").collect() if x.id)
+    assert got == [(7, 7, 1, 1), (7, 7, 2, 0), (7, 7, 2, 0), (8, 7, 2, 1), (9, 7, 2, 1), (9, 9, 1, 0)]
+    kept = sorted((x.id or 0, x.k1) for x in near_duplicates.keep_one(d, "id").collect())
+    assert kept == [(0, "u"), (0, "u"), (7, "p"), (7, "q"), (9, "s")]
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
@@ -275,9 +290,23 @@ def test_substring_dedup(spark, docs, empty):
                 rest, last = rest + texts[x.doc_id][last:a], b
             assert rest + texts[x.doc_id][last:] == x.text
     assert got.set_index("doc_id").text[42] == ""
+    assert (got.n_passages > 0).any() and (got.n_removed > got.n_passages).any()
     assert substring_dedup.substring_dedup(docs).count() == docs.count() and substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2)
+    r = random.Random(91)
+    same, own, other = (prose(r, 20) for _ in range(3))
+    rows = [(1, same), (5, same), (5, own), (7, other), (7, other), (7, other), (7, other), (None, "short\n" + own), (None, "short\n" + own), (None, "new"), (9, None), (9, None), (9, "Short")]
+    d = spark.createDataFrame(rows, "_id long, _text string")
+    got = sorted(((x._id or 0), x.text, x.removed) for x in substring_dedup.substring_dedup(d, "_id", "_text").collect() if x.text is not None)
+    whole = lambda t: f"0:{len(t)}"
+    n = len(own)
+    want = [(0, "", whole("short\n" + own)), (0, "short\n" + own, ""), (0, "new", ""), (1, same, ""), (5, "", whole(same)), (5, "", whole(own)), *[(7, "", whole(other))] * 3, (7, other, ""), (9, "", "0:5")]
+    assert got == sorted(want) and n
+
+
 # --- 7 ---
 
 
