@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding (operator 3) as a monoid tree reduction.
 
-Method. Each pre-token is halved until a piece has at most ``LEAF_BYTES`` bytes, leaves are merged
-directly, and neighbours are joined bottom-up. A join re-encodes a window of tokens around the seam
+Method. Each pre-token is halved recursively down to single bytes, whose tokens are known, and
+neighbours are joined on the way up. A join re-encodes a window of tokens around the seam
 and widens it, to the side that is unsettled, until the seam tokens are compatible with the tokens
 outside. Two tokens are compatible if the bytes of the pair encode to exactly that pair. A token
 sequence is the BPE encoding of its bytes if and only if all neighbours are compatible, so tokens
 outside the window are then proven final. Pre-tokens are encoded apart, hence the document level of
-the tree is plain concatenation, as is decoding.
+the tree is plain concatenation. Decoding maps ids to their bytes and concatenates neighbours up a
+tree as well. Halves that recur in many pre-tokens are remembered.
 
 Defined cases: null counts as empty and gives no ids; any length is encoded whole; equal texts give
 equal ids; other columns are not read; an empty table gives an empty result.
@@ -18,6 +19,7 @@ import base64
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
+from operator import add
 
 from pyspark.sql import DataFrame
 
@@ -25,8 +27,8 @@ from ..sources.tables import ship
 from .common import text_map
 from .pretokens import TwoGenerations, splitter
 
-LEAF_BYTES = 24
-WINDOW = 2
+#: Bytes up to which the encoding of a half is remembered; it only costs time.
+KEPT_BYTES = 48
 
 OUTPUTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -36,16 +38,16 @@ class TreeBPE:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.pairs = TwoGenerations(self._compatible, 200_000)
-
-    def leaf(self, piece: bytes) -> list[int]:
-        """Plain merging, lowest rank first and leftmost among equals; meant for short pieces."""
-        ranks = self.ranks
-        found = ranks.get(piece)
-        if found is not None:
-            return [found]
+        self.single = [(self.ranks[bytes([b])],) for b in range(256)]
+        #: The encoding of two tokens' bytes, by the pair of tokens.
+        self.pairs = TwoGenerations(lambda pair: self.window(self.tokens[pair[0]] + self.tokens[pair[1]]), 200_000)
+        self.halves = TwoGenerations(self._split, 400_000)
+        self.joins = 0
+
+    def window(self, piece: bytes) -> tuple[int, ...]:
+        """Plain merging, lowest rank first and leftmost among equals; meant for the bytes around a seam."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        get = ranks.get
+        ranks, get = self.ranks, self.ranks.get
         scores = [get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
         while scores:
             low = min(scores)
@@ -58,53 +60,52 @@ class TreeBPE:
                 scores[i] = get(parts[i] + parts[i + 1], 1 << 60)
             if i:
                 scores[i - 1] = get(parts[i - 1] + parts[i], 1 << 60)
-        return [ranks[p] for p in parts]
+        return tuple([ranks[p] for p in parts])
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        return tuple(self.merge_bytes(self.tokens[pair[0]] + self.tokens[pair[1]])) == pair
-
-    def merge_bytes(self, piece: bytes) -> list[int]:
-        """Merging without the tree and without the whole-piece shortcut's assumption on length."""
-        return self.leaf(piece)
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the joined bytes, given the encodings of both sides."""
         if not left or not right:
             return left + right
-        if self.pairs[left[-1], right[0]]:
-            return left + right
-        a, b = min(WINDOW, len(left)), min(WINDOW, len(right))
-        tokens = self.tokens
+        self.joins += 1
+        pairs, tokens = self.pairs, self.tokens
+        middle = pairs[left[-1], right[0]]
+        a = b = 1
         while True:
-            window = b"".join([tokens[t] for t in left[len(left) - a :]] + [tokens[t] for t in right[:b]])
-            middle = self.leaf(window)
-            settled_left = a == len(left) or self.pairs[left[len(left) - a - 1], middle[0]]
-            settled_right = b == len(right) or self.pairs[middle[-1], right[b]]
+            settled_left = a >= len(left) or pairs[edge := (left[-a - 1], middle[0])] == edge
+            settled_right = b >= len(right) or pairs[edge := (middle[-1], right[b])] == edge
             if settled_left and settled_right:
                 return left[: len(left) - a] + middle + right[b:]
             if not settled_left:
                 a = min(len(left), 2 * a)
             if not settled_right:
                 b = min(len(right), 2 * b)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The tree, bottom-up and without recursion, so that a piece of any length fits the stack."""
-        if len(piece) <= LEAF_BYTES:
-            return self.leaf(piece)
-        level = [self.leaf(piece[i : i + LEAF_BYTES]) for i in range(0, len(piece), LEAF_BYTES)]
+            middle = self.window(b"".join([tokens[t] for t in left[len(left) - a :]] + [tokens[t] for t in right[:b]]))
+
+    def _split(self, piece: bytes) -> tuple[int, ...]:
+        n = len(piece) // 2
+        return self.join(self.encode_piece(piece[:n]), self.encode_piece(piece[n:]))
+
+    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+        """The tree over one pre-token. Halving keeps the recursion as deep as the logarithm of the length."""
+        if len(piece) == 1:
+            return self.single[piece[0]]
+        if len(piece) <= KEPT_BYTES:
+            return self.halves[piece] if piece else ()
+        return self._split(piece)
+
+    def decode(self, ids) -> bytes:
+        """Bytes of the ids, neighbours concatenated level by level."""
+        level = [self.tokens[i] for i in ids]
         while len(level) > 1:
-            paired = [self.join(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
-            level = paired + level[len(level) - len(level) % 2 :]
-        return level[0]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+            odd = level[len(level) - len(level) % 2 :]
+            level = [*map(add, level[::2], level[1::2]), *odd]
+        return level[0] if level else b""
 
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> tuple[TreeBPE, TwoGenerations]:
     bpe = TreeBPE(path)
-    return bpe, TwoGenerations(lambda word: tuple(bpe.encode_piece(word.encode())))
+    return bpe, TwoGenerations(lambda word: bpe.encode_piece(word.encode()))
 
 
 def encode_text(text: str | None, path: str) -> list[int]:
@@ -115,14 +116,14 @@ def encode_text(text: str | None, path: str) -> list[int]:
 
 def digests(texts: list[str | None], path: str) -> dict:
     bpe, words = codec(path)
-    find, tokens = splitter("tiktoken"), bpe.tokens
+    find = splitter("tiktoken")
     names = _names(path)
     out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
     for text in texts:
         ids = list(chain.from_iterable(map(words.__getitem__, find(text or ""))))
         out["n_tokens"].append(len(ids))
         out["ids_sha256"].append(sha256(b",".join(map(names.__getitem__, ids))).hexdigest())
-        out["decoded_sha256"].append(sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
+        out["decoded_sha256"].append(sha256(bpe.decode(ids)).hexdigest())
     return out
 
 
