@@ -2,11 +2,15 @@
 
 Method. Words and runs of symbols, as written, and their pairs are hashed to ``BUCKETS`` buckets each.
 Two generative models are bucket frequencies: of the target, the labelled rows that are good and not
-toxic, and of the raw text, all rows. Both are fitted on each half of the rows and weigh the other half. The mean log-ratio over a text's features, times
-``EVIDENCE``, is its log importance weight; so long and short texts compare, as if each had that
-many features. Adding Gumbel noise that
-depends on the id alone and taking the k largest sums draws k rows without replacement in proportion
-to the weights. ``k`` is the share of good rows among the labelled ones, of all rows.
+toxic, and of the raw text, all rows. Both are fitted on each half of the rows and weigh the other
+half, so that no text vouches for itself. The log importance weight of a text is the log-ratio of its
+likelihoods under the two models: the sum over all its features, divided by ``TEMPERATURE`` (1 is the
+ratio itself; more flattens the weights). Adding Gumbel noise that depends on the id and the text and
+taking the k largest sums draws k rows without replacement in proportion to the weights. ``k`` is
+the share of good rows among the labelled ones, of all rows.
+
+The weights are those of whole texts, so evidence grows with length: the draw is close to certain for
+long texts that are clearly like or unlike the target, and open for short ones.
 
 Scale. Counts are histograms of fixed size, added up in the tasks first. The target may be fitted on
 at most about ``FIT_ROWS`` labelled rows, picked by hash, whose ids are sent to the workers; all
@@ -14,7 +18,8 @@ other counts cover every row. The k-th largest key is found by counting key pref
 sorted globally or collected.
 
 Defined cases: null, empty or blank text: no weight, not kept, and not counted for k; no usable label:
-all rows with text are kept; ties at the k-th key are all kept, so equal rows fare alike; labels
+all rows with text are kept; ties at the k-th key are all kept, so equal rows fare alike; rows that
+share an id but not the text draw their own noise; labels
 without a row and rows without a label are fine; other columns are not read; an empty table gives an
 empty result.
 """
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +37,7 @@ from .common import materialize, slices
 from .words import _BYTES, _ODD, _powers_to
 
 BUCKETS = 1 << 14
-EVIDENCE = 1000.0
+TEMPERATURE = 1.0
 FIT_ROWS = 200_000
 #: Pseudo-counts by which a bucket's ratio is drawn to 1, so that rare features say little.
 PRIOR = 1.0
@@ -114,16 +119,22 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
 
 
 def weigh(texts: list[str | None], ratios: np.ndarray) -> np.ndarray:
-    """Mean log-ratio over the features of each text; NaN without features."""
+    """Log-ratio of the likelihoods of each text: the sum over its features; NaN without features."""
     single, pair, sizes = bucketed(texts)
     values = ratios[single] + np.where(pair >= 0, ratios[pair], 0.0)
     out = np.full(len(sizes), np.nan)
     some = np.flatnonzero(sizes)
     if len(some):
-        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some]) / (2 * sizes[some] - 1)
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
     return out
 
 
+def gumbel(seed: Column | int, *of: Column) -> Column:
+    """Standard Gumbel noise that depends on the seed and the columns alone."""
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
 def _ordered_bits(keys: np.ndarray) -> np.ndarray:
     """Longs in the order of the doubles."""
     bits = keys.astype(np.float64).view(np.int64)
@@ -148,7 +159,7 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None,
-    fit_rows: int = FIT_ROWS, seed: int = SEED,
+    fit_rows: int = FIT_ROWS, seed: int = SEED, temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """id, log_weight, gumbel_key and kept for each input row; see the module's text."""
     ship(docs.sparkSession)
@@ -165,8 +176,8 @@ def classify(
     ratios = np.stack([log_ratios(c) for c in _counts(docs, id_col, text_col, target)[::-1]]) if n_good else np.zeros((2, 2 * BUCKETS))
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), docs[id_col]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    source = docs.select(docs[id_col].alias("_id"), (-F.log(-F.log(uniform))).alias("noise"), docs[text_col].cast("string").alias("_text"), _fold(F.xxhash64(docs[id_col])).alias("fold"))
+    text = docs[text_col].cast("string")
+    source = docs.select(docs[id_col].alias("_id"), gumbel(seed, docs[id_col], text).alias("noise"), text.alias("_text"), _fold(F.xxhash64(docs[id_col])).alias("fold"))
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *T._parse_datatype_string("log_weight double, gumbel_key double, bits long").fields])
 
     def run(batches):
@@ -176,7 +187,7 @@ def classify(
                 weight = np.full(len(texts), np.nan)
                 for f in (0, 1):
                     if len(at := np.flatnonzero(fold == f)):
-                        weight[at] = weigh([texts[i] for i in at], shared.value[f]) * EVIDENCE
+                        weight[at] = weigh([texts[i] for i in at], shared.value[f]) / temperature
                 key = weight + part.column(1).to_numpy()
                 none = np.isnan(weight)
                 yield pa.RecordBatch.from_arrays(
