@@ -4,7 +4,8 @@ Base. Email, IP, card and phone spans by fixed patterns, leftmost and non-overla
 are written so that no text makes them backtrack quadratically.
 
 Method. The surroundings of digits, ``@`` and spelled-out addresses are tokenized. Every run of at
-most ``MAX_TOKENS`` tokens that could be an entity is a candidate segment. Features of the whole
+most ``MAX_TOKENS`` tokens that could be an entity is a candidate segment, and so is an unbroken run of
+letters and digits of any length. Features of the whole
 segment (check digits, digit groups, shape, cue words before it, neighbours) score it for each kind.
 A dynamic programme over the tokens picks the best cover by segments and single outside tokens, so
 that boundaries and kinds are chosen jointly. Weights maximise the conditional likelihood of
@@ -34,7 +35,7 @@ MAX_TOKENS = 16
 #: Fields of a line on either side of a trigger that belong to its region.
 CONTEXT_FIELDS = 3
 
-OUTPUTS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+OUTPUTS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -142,7 +143,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int,
         if not (text[a].isalnum() and text[a].isascii()):
             start = k + 1
         elif k + 1 == n or not (text[tokens[k + 1][0]].isalnum() and text[tokens[k + 1][0]].isascii()):
-            if 20 <= b - tokens[start][0] <= 512 and digits[k + 1] - digits[start] >= 2 and all(i != start for i, _ in out[k]):
+            if b - tokens[start][0] >= 20 and digits[k + 1] - digits[start] >= 2 and all(i != start for i, _ in out[k]):
                 out[k].append((start, text[tokens[start][0] : b]))
     return out
 
@@ -340,13 +341,14 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def summarize(texts: list[str | None], weights) -> dict:
-    out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
+    out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added")}
     for text in texts:
         base, added = find_spans(text, weights)
         for i, k in enumerate(BASE_KINDS):
             out[f"n_{k}"].append(sum(1 for x in base if x[1] == i))
         out["base_sha256"].append(sha256(written(base).encode()).hexdigest())
         out["spans"].append(written(base + added))
+        out["n_spans"].append(len(base) + len(added))
         out["n_added"].append(len(added))
     return out
 
@@ -365,7 +367,8 @@ def redact(text: str | None, weights) -> str | None:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: base counts, digest of the base spans, all spans as ``kind:start:end``. No shuffle.
+    """Per row: base counts, digest of the base spans, all spans as ``kind:start:end``, how many there are, and how
+    many of them the model added. No shuffle.
 
     Null or empty text: zero counts, the digest of the empty string, empty ``spans``.
     """
