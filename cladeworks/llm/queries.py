@@ -125,14 +125,14 @@ _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x
 DECONTAMINATION_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
-iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i WHERE len(ws) >= 5),
+iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i WHERE len(ws) >= 1),
 same AS (SELECT doc_id, item_id, n, p - q AS line, p FROM dw JOIN iw USING (w)),
 reach AS (
   SELECT doc_id, item_id, n, p, lead(p, 10) OVER l AS p11, lead(p, 11) OVER l AS p12, lead(p, 12) OVER l AS p13,
-         lead(p, (n - 1)::INTEGER) OVER l AS pn
+         count(*) OVER (PARTITION BY doc_id, item_id, line) AS whole
   FROM same WINDOW l AS (PARTITION BY doc_id, item_id, line ORDER BY p)),
 good AS (
-  SELECT doc_id, item_id, CASE WHEN n < 13 THEN CASE WHEN pn - p = n - 1 THEN n END
+  SELECT doc_id, item_id, CASE WHEN n < 13 THEN CASE WHEN whole >= n - n * 2 // 13 THEN whole END
     WHEN p13 - p = 12 THEN 13 WHEN p12 - p <= 12 THEN 12 WHEN p11 - p <= 12 THEN 11 END AS agreed FROM reach)
 SELECT doc_id, item_id, max(agreed)::INTEGER AS agreed FROM good WHERE agreed IS NOT NULL GROUP BY ALL"""
 
