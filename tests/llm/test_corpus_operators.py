@@ -54,7 +54,8 @@ def test_seed_family_is_lossless():
 def plain_contamination(doc, item):
     a, b = words(doc), words(item)
     if len(b) < 13:
-        return len(b) if len(b) >= 5 and any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1)) else 0
+        agreed = max([sum(0 <= j + line < len(a) and a[j + line] == b[j] for j in range(len(b))) for line in range(-len(b), len(a))] or [0])
+        return agreed if b and agreed >= len(b) - len(b) * 2 // 13 else 0
     best = 0
     for line in range(-len(b), len(a)):
         e = [False] * 12 + [0 <= j + line < len(a) and a[j + line] == b[j] for j in range(len(b))] + [False] * 12
@@ -65,7 +66,7 @@ def plain_contamination(doc, item):
 def contaminated(spark):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(12)]
-    items = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(3, 30))) for _ in range(8)] + [None, ""]
+    items = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(3, 30))) for _ in range(8)] + [None, "", "w1", "w2 w3 w4 w5 w6 w7 w8"]
     docs = []
     for _ in range(60):
         copy = [r.choice(vocabulary) if r.random() < 0.12 else w for w in r.choice(items[:8]).split()]
@@ -85,6 +86,22 @@ def test_contamination(spark, block):
         assert {r.doc_id for r in decontamination.clean_rows(d, i).collect()} == set(range(len(docs))) - {a for a, _ in want}
 
 
+def test_contamination_by_runs_of_one_word(spark):
+    seeds = decontamination.Seeds.of([1, 2], ["la " * 3000, "la " * 1500 + "lo " * 40])
+    got = seeds.matches(["la " * 200_000, "no", "la " * 12 + "x"])
+    assert sorted(map(tuple, got.to_numpy().tolist())) == [(0, 0, 13), (0, 1, 13), (2, 0, 12), (2, 1, 12)]
+
+
+def test_contamination_of_ties_and_clashing_names(spark):
+    d = spark.createDataFrame([(1, "x " * 20, 5), (1, "x " * 20, 5), (1, "a b c d e f g h i j k l m", 6), (None, "y a b c q e f g h i j k l m", 7)], "_row long, _text string, _item int")
+    i = spark.createDataFrame([("p", "a b c d e f g h i j k l m"), ("q", "a b c d e f g h i j k l m"), (None, "x " * 20)], "agreed_id string, words string")
+    for block in (decontamination.BLOCK_WORDS, 1):
+        got = decontamination.find_contamination(d, i, "_row", "_text", "agreed_id", "words", block).collect()
+        assert Counter((r._row, r.agreed_id, r.agreed) for r in got) == Counter({(1, None, 13): 2, (1, "p", 13): 1, (1, "q", 13): 1, (None, "p", 12): 1, (None, "q", 12): 1})
+        assert decontamination.clean_rows(d, i, "_row", "_text", "agreed_id", "words", block).count() == 0
+        assert decontamination.clean_rows(d, i.limit(0), "_row", "_text", "agreed_id", "words", block).columns == d.columns
+
+
 def test_contamination_empty(spark, docs, empty):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontamination.find_contamination(empty, items).count() == 0 and decontamination.find_contamination(docs, items.limit(0)).count() == 0
@@ -240,6 +257,39 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classify(empty, labels).count() == 0
 
 
+def test_draws_follow_the_importance_weights(spark):
+    """Inclusion frequencies over seeds against drawing row after row without replacement, by brute force."""
+    r = random.Random(71)
+    rows = [(i, prose(r, r.randrange(1, 9)) + (" ### $$" if i % 3 == 0 else "")) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    scored = quality_classifier.classify(d, labels).select("doc_id", "log_weight", "gumbel_key", "kept").toPandas().set_index("doc_id").sort_index()
+    ratio = quality_classifier.weigh([rows[5][1] + " " + rows[7][1]], np.linspace(-1, 1, 2 * quality_classifier.BUCKETS))[0]
+    single, pair, _ = quality_classifier.bucketed([rows[5][1] + " " + rows[7][1]])
+    assert ratio == pytest.approx(sum(np.linspace(-1, 1, 2 * quality_classifier.BUCKETS)[b] for b in [*single, *pair] if b >= 0))
+    few = scored.log_weight.iloc[:12].to_numpy()
+    k, runs = 4, 4000
+    seeds = spark.range(runs).withColumnRenamed("id", "seed")
+    weighted = spark.createDataFrame([(i, float(w)) for i, w in enumerate(few)], "i long, w double")
+    keys = seeds.crossJoin(weighted).select("seed", "i", (F.col("w") + quality_classifier.gumbel(F.col("seed"), F.col("i"))).alias("key")).toPandas()
+    top = keys.sort_values("key", ascending=False).groupby("seed").head(k)
+    got = top.groupby("i").size().reindex(range(12), fill_value=0).to_numpy() / runs
+    rng, want = np.random.default_rng(5), np.zeros(12)
+    for _ in range(runs):
+        want[rng.choice(12, k, replace=False, p=np.exp(few) / np.exp(few).sum())] += 1
+    assert np.abs(got - want / runs).max() < 0.04
+    assert scored.kept.sum() == int(np.ceil(60 * labels.filter("quality = 1").count() / 30)) == len(scored.nlargest(int(scored.kept.sum()), "gumbel_key").query("kept"))
+    by_weight = set(scored.nlargest(int(scored.kept.sum()), "log_weight").index)
+    assert by_weight != set(scored[scored.kept].index)
+
+
+def test_classifier_noise_of_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    noise = [x.gumbel_key - x.log_weight for x in quality_classifier.classify(d, labels).collect()]
+    assert sorted(Counter(round(x, 9) for x in noise).values()) == [1, 2]
+
+
 def test_kth_largest(spark):
     values = [5, -3, 5, 2**40, -(2**50), 0, 7, 7, 7]
     rows = spark.createDataFrame([(v,) for v in values], "v long")
@@ -315,18 +365,60 @@ def test_language_model(spark, docs, empty):
     got = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
     assert len(held) > 20 and (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
+    assert got[got.lang == got.lang_pred].rejected.mean() < 0.03
     model = language_id.fit(d, ~language_id.held_out())
+    scorer = model.scorer()
     letters = sorted({int(c) for r in d.select("text").collect() for c in np.unique(language_id.folded(r.text))})
     for start in ("that", "qxzq", " der"):
         context = np.array([ord(c) for c in start], np.uint32)
-        p = np.exp(np.stack([model.log_probs(np.append(context, np.uint32(c)))[0] for c in letters])).sum(axis=0)
+        p = np.exp(np.stack([scorer.log_probs(np.append(context, np.uint32(c)))[1][0] for c in letters])).sum(axis=0)
         assert p == pytest.approx(np.ones(4), abs=0.02)
+    sharded = language_id.fit(d, ~language_id.held_out(), model_rows=20_000)
+    assert model.shards == 1 < 3 < sharded.shards
+    one, many = ({r.doc_id: r for r in language_id.predict(d, m).collect()} for m in (model, sharded))
+    assert all(one[i].lang_pred == r.lang_pred and one[i].rejected == r.rejected and one[i].score == pytest.approx(r.score) for i, r in many.items()) and len(one) == len(many)
     rows = {x.doc_id: x for x in language_id.predict(docs, model).collect()}
     assert {rows[i].lang_pred for i in (2, 3, 4, 9)} == {"und"} and rows[2].score == 0 and rows[7].lang_pred == "de"
     assert language_id.identify(empty).count() == 0
     assert {x.lang_pred for x in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_model_equals_plain_kneser_ney(spark):
+    r = random.Random(72)
+    rows = [(i, prose(r, 12) if i % 2 else prose(r, 9).replace("e", "ø"), "ab"[i % 2]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d, F.lit(True), order=3)
+    used = {x.text for x in d.filter(F.pmod(F.xxhash64("text"), F.lit(10)) != 0).collect()}
+    counts: dict = {k: {lang: Counter() for lang in "ab"} for k in (1, 2, 3)}
+    for _, text, lang in rows:
+        if text in used:
+            padded = " " + "".join(map(chr, language_id.folded(text)))
+            counts[3][lang].update(padded[i : i + 3] for i in range(len(padded) - 2))
+    for k in (2, 1):
+        for lang in "ab":
+            counts[k][lang] = Counter(g[1:] for g in counts[k + 1][lang])
+    letters = len(set(counts[1]["a"]) | set(counts[1]["b"]))
+
+    def p(gram, lang):
+        if not gram:
+            return 1 / (letters + 1)
+        of = counts[len(gram)][lang]
+        n1, n2 = (sum(v == n for v in of.values()) for n in (1, 2))
+        discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
+        same = [v for g, v in of.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:], lang)
+        return max(0, of[gram] - discount) / sum(same) + discount * len(same) / sum(same) * p(gram[1:], lang)
+
+    for text in ("teh ø", "zzz", "het"):
+        codes = np.concatenate([[np.uint32(32)], language_id.folded(text)])
+        number, values = model.scorer().log_probs(codes)
+        chars = "".join(map(chr, codes))
+        for i in range(len(chars) - 2):
+            for j, lang in enumerate("ab"):
+                assert values[number[i], j] == pytest.approx(np.log(p(chars[i : i + 3], lang)), abs=1e-4)
+
+
 def test_language_counting_with_large_alphabets():
     counter = language_id._Counter(5)
     r = random.Random(10)
@@ -356,7 +448,7 @@ def test_pipeline(spark, tmp_path):
     kept = [x for x, k in zip(rows, judge([t for _, t in rows])["kept"]) if k]
     groups = plain_groups(kept)
     kept = [x for x in kept if groups[x[0]][0] == x[0]]
-    dirty = set(decontamination.Seeds(list(range(len(items))), items).matches([t for _, t in kept])["row"])
+    dirty = set(decontamination.Seeds.of(list(range(len(items))), items).matches([t for _, t in kept])["row"])
     kept = [(i, redact(t, trained())) for n, (i, t) in enumerate(kept) if n not in dirty]
     want = dict(zip([i for i, _ in kept], digests([t for _, t in kept], corpus_pipeline.public_tokenizers.path(corpus_pipeline.TOKENIZER))["ids_sha256"]))
     assert got == want and 0 < len(got) < len(rows)
