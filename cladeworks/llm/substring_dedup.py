@@ -163,11 +163,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     rest.append(without(x, None, 0)[1] if copies > 1 else None)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(units, pa.int32()), pa.array(one, found), pa.array(rest, found)], names=schema.names)
 
-    made = joined.mapInArrow(run, schema)
-    last = (F.col("n") - 1) / BLOCK
-    few = made.filter(F.col("n") <= BLOCK).withColumn("_block", F.lit(0).cast("long"))
-    # a row repeated very often is written by many tasks
-    hot = made.filter(F.col("n") > BLOCK).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last).cast("long")))).repartition("id", "d", "_block")
+    rows = joined.mapInArrow(run, schema)
+    zero, last = F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK).cast("long")
+    if source.groupBy("id").count().filter(F.col("count") > BLOCK).isEmpty():
+        rows = rows.withColumn("_block", zero)
+    else:
+        # a row repeated very often is written by many tasks
+        hot = rows.filter(F.col("n") > BLOCK).withColumn("_block", F.explode(F.sequence(zero, last))).repartition("id", "d", "_block")
+        rows = rows.filter(F.col("n") <= BLOCK).withColumn("_block", zero).unionByName(hot)
     copy = F.explode(F.sequence(F.col("_block") * BLOCK, F.least(F.col("n"), (F.col("_block") + 1) * BLOCK) - 1))
-    rows = few.unionByName(hot).withColumn("_copy", copy).withColumn("_f", F.when(F.col("_copy") == 0, F.col("first")).otherwise(F.col("other")))
+    rows = rows.withColumn("_copy", copy).withColumn("_f", F.when(F.col("_copy") == 0, F.col("first")).otherwise(F.col("other")))
     return rows.select(F.col("id").alias(id_col), "n_units", "_f.*")
