@@ -1,9 +1,9 @@
 """Hierarchies as edge tables: closures, order, metrics, repairs and checks.
 
 A tree is a DataFrame with an id and a parent column (null at roots). Walks go level by level by
-equi-joins; each level only carries its frontier. Paths are kept as arrays, so a cycle ends a walk
-instead of repeating it. Intermediate levels are written to the shared folder every few rounds, which
-keeps plans short and survives lost executors.
+equi-joins, as deep as the tree is; each level only carries its frontier. Paths are kept as arrays, so a
+cycle ends a walk instead of repeating it. Levels are written to one folder of the shared storage, which
+keeps plans short and survives lost executors. Metrics are summed bottom-up, one row for each node.
 """
 
 from __future__ import annotations
@@ -14,32 +14,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import COUNTED, LINNEAN, ordinal
-from ..sources.tables import materialize
-
-#: Levels that a walk may have.
-MAX_DEPTH = 100
-
+from ..sources.tables import Levels, materialize
 
 def _edges(df: DataFrame, id_col: str, parent: str) -> DataFrame:
     return df.filter(F.col(parent).isNotNull()).select(F.col(id_col).alias("_child"), F.col(parent).alias("_parent"))
 
 
-def ancestors(df: DataFrame, id_col: str = "id", parent: str = "parent", include_self: bool = False, start: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _closure(edges: DataFrame) -> DataFrame | None:
+    """(id, ancestor, depth) of all rows by doubling: the pairs up to a depth are joined to those of just that depth.
+    None if a row turns out to be its own ancestor."""
+    levels = Levels(edges.sparkSession)
+    new = levels.add(edges.select(F.col("_child").alias("id"), F.col("_parent").alias("ancestor"), F.lit(1).alias("depth")))
+    reach = 1
+    while True:
+        n, own = new.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("id") == F.col("ancestor")).cast("long")), F.lit(0))).first()
+        if own:
+            return None
+        if not n:
+            return levels.all()
+        known = levels.all()
+        top = known.filter(F.col("depth") == reach).select("id", F.col("ancestor").alias("_at"))
+        new = levels.add(top.join(known.select(F.col("id").alias("_at"), "ancestor", "depth"), "_at").select("id", "ancestor", (F.col("depth") + reach).alias("depth")))
+        reach *= 2
+
+
+def ancestors(df: DataFrame, id_col: str = "id", parent: str = "parent", include_self: bool = False, start: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(id, ancestor, depth): all ancestors of all rows, or of those in ``start``. A cycle is left at its first repeat."""
     edges = _edges(df, id_col, parent)
+    if start is None and max_depth is None:
+        out = _closure(edges)
+        if out is None:
+            stuck = materialize(terminals(edges, "_child", "_parent").filter("endless").select("id"))
+            out = _closure(edges.join(stuck.select(F.col("id").alias("_child")), "_child", "left_anti")).unionByName(ancestors(df, id_col, parent, False, stuck.select(F.col("id").alias(id_col))))
+        out = out.select("id", "ancestor", "depth")
+        own = df.select(F.col(id_col).alias("id")).distinct().select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+        return out.unionByName(own) if include_self else out
     seeds = (start if start is not None else df).select(F.col(id_col).alias("id")).distinct()
-    level = seeds.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("_path"))
-    out = level if include_self else level.limit(0)
-    for depth in range(1, max_depth + 1):
-        level = materialize(
+    levels = Levels(df.sparkSession)
+    level = levels.add(seeds.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("_path")))
+    depth = 0
+    while not level.isEmpty() and depth != max_depth:
+        depth += 1
+        level = levels.add(
             level.join(edges, F.col("ancestor") == F.col("_child"))
             .filter(~F.array_contains("_path", F.col("_parent")))
             .select("id", F.col("_parent").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("_path", F.col("_parent")).alias("_path"))
         )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select("id", "ancestor", "depth")
+    return levels.all().filter(F.lit(True) if include_self else F.col("depth") > 0).select("id", "ancestor", "depth")
 
 
 def descendants(df: DataFrame, start: DataFrame, id_col: str = "id", parent: str = "parent", include_self: bool = False) -> DataFrame:
@@ -55,19 +76,18 @@ def paths(df: DataFrame, id_col: str = "id", parent: str = "parent", key: Column
     """
     nodes = df.select(F.col(id_col).alias("id"), F.col(parent).alias("_p"), (key if key is not None else F.struct(F.col(id_col))).alias("_k"), (keep if keep is not None else F.lit(True)).alias("_keep"))
     nodes = nodes.filter("_keep").drop("_keep")
-    level = nodes.filter("_p is null").select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array("_k").alias("sort_path"))
-    out = level
+    levels = Levels(df.sparkSession)
+    level = levels.add(nodes.filter("_p is null").select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array("_k").alias("sort_path")))
     below = nodes.filter("_p is not null").withColumnRenamed("id", "_id")
-    for depth in range(1, MAX_DEPTH + 1):
-        level = materialize(
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        level = levels.add(
             level.join(below, F.col("id") == F.col("_p")).filter(~F.array_contains("path", F.col("_id"))).select(
                 F.col("_id").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("_id")).alias("path"), F.array_append("sort_path", F.col("_k")).alias("sort_path")
             )
         )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    return levels.all()
 
 
 def sibling_key(rank: str, canonical: str, name: str) -> Column:
@@ -77,12 +97,14 @@ def sibling_key(rank: str, canonical: str, name: str) -> Column:
 
 #: Walks by name: which edges they follow, in which direction, and whether the start belongs to the result.
 #: up: child to parent; down: parent to child; syn: synonym to accepted; acc: accepted to synonyms.
-TRAVERSALS: dict[str, tuple[tuple[str, ...], int, bool]] = {
-    "PARENT": (("up",), 1, False), "PARENTS": (("up",), MAX_DEPTH, False), "LINNEAN_PARENTS": (("up",), MAX_DEPTH, False), "CHILDREN": (("down",), 1, False),
-    "SYNONYMS": (("acc",), 1, False), "ACCEPTED": (("syn",), 1, False), "PARENTS_AND_ACCEPTED": (("up", "syn"), MAX_DEPTH, False), "BASIONYM_GROUP": (("bas", "com"), MAX_DEPTH, True),
-    "ACCEPTED_TREE": (("down",), MAX_DEPTH, True), "TREE_WITHOUT_PRO_PARTE": (("down", "acc"), MAX_DEPTH, True), "TREE": (("down", "acc", "pro"), MAX_DEPTH, True),
-    "DESCENDANTS": (("down", "acc"), MAX_DEPTH, False),
+TRAVERSALS: dict[str, tuple[tuple[str, ...], int | None, bool]] = {
+    "PARENT": (("up",), 1, False), "PARENTS": (("up",), None, False), "LINNEAN_PARENTS": (("up",), None, False), "CHILDREN": (("down",), 1, False),
+    "SYNONYMS": (("acc",), 1, False), "ACCEPTED": (("syn",), 1, False), "PARENTS_AND_ACCEPTED": (("up", "syn"), None, False), "BASIONYM_GROUP": (("bas", "com"), None, True),
+    "ACCEPTED_TREE": (("down",), None, True), "TREE_WITHOUT_PRO_PARTE": (("down", "acc"), None, True), "TREE": (("down", "acc", "pro"), None, True),
+    "DESCENDANTS": (("down", "acc", "pro"), None, False),
 }
+#: Walks that list a row once for each way to it, in taxonomic order.
+SORTED = {"SORTED_TREE": ("down", "acc", "pro"), "SORTED_TREE_WITHOUT_PRO_PARTE": ("down", "acc"), "SORTED_ACCEPTED_TREE": ("down",)}
 
 
 def relations(df: DataFrame, id_col: str = "id", parent: str = "parent", synonym: str = "is_synonym", basionym: str | None = None, pro_parte: DataFrame | None = None) -> DataFrame:
@@ -102,25 +124,48 @@ def relations(df: DataFrame, id_col: str = "id", parent: str = "parent", synonym
     return out
 
 
-def traverse(edges: DataFrame, start: DataFrame, walk: str, id_col: str = "id", ranks: DataFrame | None = None) -> DataFrame:
+def traverse(edges: DataFrame, start: DataFrame, walk: str, id_col: str = "id", ranks: DataFrame | None = None, lowest: str | None = None) -> DataFrame:
     """(root, id, depth): the rows that a named walk meets; each row once, at its least depth.
 
-    Walks that filter by rank go on through rows they do not show.
+    Walks that filter by rank go on through rows they do not show: LINNEAN_PARENTS shows Linnean ranks, and ``lowest``
+    hides rows below a rank, in any walk.
     """
-    kinds, depth, with_self = TRAVERSALS[walk]
+    kinds, most, with_self = TRAVERSALS[walk]
     used = edges.filter(F.col("rel").isin(*kinds)).select("src", "dst").distinct()
-    level = start.select(F.col(id_col).alias("root"), F.col(id_col).alias("id")).distinct()
-    seen = level.withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
+    levels = Levels(edges.sparkSession)
+    level = levels.add(start.select(F.col(id_col).alias("root"), F.col(id_col).alias("id")).distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while not level.isEmpty() and depth != most:
+        depth += 1
         reached = level.join(used, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
-        level = materialize(reached.join(seen, ["root", "id"], "left_anti"))
-        if level.isEmpty():
-            break
-        seen = materialize(seen.unionByName(level.withColumn("depth", F.lit(d))))
-    out = seen if with_self else seen.filter("depth > 0")
-    if walk == "LINNEAN_PARENTS" and ranks is not None:
-        out = out.join(ranks.filter(F.col("rank").isin(*LINNEAN)).select(F.col(id_col).alias("id")), "id", "left_semi")
-    return out
+        level = levels.add(reached.join(levels.all().select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+    out = levels.all().filter(F.lit(True) if with_self else F.col("depth") > 0)
+    if ranks is not None and (walk == "LINNEAN_PARENTS" or lowest):
+        shown = F.col("rank").isin(*LINNEAN) if walk == "LINNEAN_PARENTS" else F.lit(True)
+        out = out.join(ranks.filter(shown & (ordinal(F.col("rank")) <= ordinal(F.lit(lowest)) if lowest else F.lit(True))).select(F.col(id_col).alias("id")), "id", "left_semi")
+    return out.select("root", "id", "depth")
+
+
+def sorted_tree(edges: DataFrame, start: DataFrame, walk: str, keys: DataFrame, id_col: str = "id") -> DataFrame:
+    """(root, id, depth, path, sort_path): a walk of ``SORTED``, once for each path to a row; ``sort_path`` is the
+    depth-first order. ``keys`` is (id, key) with ``sibling_key``; the synonyms of a row go before its children.
+    A path never meets a row twice.
+    """
+    used = edges.filter(F.col("rel").isin(*SORTED[walk])).select("src", F.col("dst").alias("_dst"), F.when(F.col("rel") == "down", 1).otherwise(0).alias("_child")).distinct()
+    used = used.join(keys.select(F.col(id_col).alias("_dst"), F.col("key").alias("_key")), "_dst")
+    levels = Levels(edges.sparkSession)
+    roots = start.select(F.col(id_col).alias("id")).distinct().join(keys.select(F.col(id_col).alias("id"), "key"), "id")
+    level = levels.add(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array(F.struct(F.lit(1).alias("child"), "key")).alias("sort_path")))
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        level = levels.add(
+            level.join(used, F.col("id") == F.col("src")).filter(~F.array_contains("path", F.col("_dst"))).select(
+                "root", F.col("_dst").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("_dst")).alias("path"),
+                F.array_append("sort_path", F.struct(F.col("_child").alias("child"), F.col("_key").alias("key"))).alias("sort_path"),
+            )
+        )
+    return levels.all()
 
 
 def first_with_rank(closure: DataFrame, ranks: DataFrame, rank: str, id_col: str = "id", rank_col: str = "rank") -> DataFrame:
@@ -139,30 +184,51 @@ def classification(closure: DataFrame, ranks: DataFrame, levels: Sequence[str],
 def metrics(df: DataFrame, id_col: str = "id", parent: str = "parent", rank: str = "rank", synonym: str | None = None, counted: Mapping[str, str] = COUNTED) -> DataFrame:
     """Per accepted row: descendants, children, synonyms, and descendants of each counted rank.
 
-    Only accepted rows are walked and counted, the row itself never; synonyms count where they hang.
+    Only accepted rows are walked and counted, the row itself never; synonyms count where they hang. Sums go up level
+    by level, so work grows with the rows and not with their depth. Rows on or below a cycle are counted by a walk.
     """
     accepted = df.filter(~F.col(synonym)) if synonym else df
-    closure = ancestors(accepted, id_col, parent)
-    ranks = accepted.select(F.col(id_col).alias("id"), F.col(rank).alias("_rank"))
-    below = closure.join(ranks, "id").groupBy(F.col("ancestor").alias("id")).agg(
-        F.count(F.lit(1)).alias("num_descendants"),
-        F.sum((F.col("depth") == 1).cast("long")).alias("num_children"),
-        *[F.sum((F.col("_rank") == r).cast("long")).alias(f"num_{short}") for r, short in counted.items()],
-    )
-    out = accepted.select(F.col(id_col).alias("id")).join(below, "id", "left")
+    nodes = materialize(accepted.select(F.col(id_col).alias("id"), F.col(parent).alias("parent"), F.col(rank).alias("_rank")))
+    known = nodes.select(F.col("id").alias("parent"))
+    names = ["num_descendants", "num_children", *[f"num_{short}" for short in counted.values()]]
+    levels = Levels(df.sparkSession)
+    down = [levels.add(nodes.join(known, "parent", "left_anti"))]
+    while not down[-1].isEmpty():
+        down.append(levels.add(nodes.join(down[-1].select(F.col("id").alias("parent")), "parent").select("id", "parent", "_rank")))
+    done, sums = Levels(df.sparkSession), None
+    for level in reversed(down[:-1]):
+        own = level if sums is None else level.join(sums, "id", "left").fillna(0, names)
+        own = done.add(own.withColumns({n: F.lit(0).cast("long") for n in names}) if sums is None else own)
+        # what a row adds to its parent: itself and all below it
+        ranked = [F.sum(F.col(f"num_{short}") + (F.col("_rank") == r).cast("long")).alias(f"num_{short}") for r, short in counted.items()]
+        sums = own.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("num_descendants") + 1).alias("num_descendants"), F.count(F.lit(1)).alias("num_children"), *[F.coalesce(c, F.lit(0)).alias(f"num_{short}") for c, short in zip(ranked, counted.values())])
+    out = done.all().select("id", *names) if done.n else nodes.select("id", *[F.lit(0).cast("long").alias(n) for n in names]).limit(0)
+    lost = nodes.join(levels.all().select("id"), "id", "left_anti")
+    if not lost.isEmpty():
+        closure = ancestors(lost)
+        below = closure.join(lost.select("id", "_rank"), "id").groupBy(F.col("ancestor").alias("id")).agg(
+            F.count(F.lit(1)).alias("num_descendants"), F.sum((F.col("depth") == 1).cast("long")).alias("num_children"),
+            *[F.sum((F.col("_rank") == r).cast("long")).alias(f"num_{short}") for r, short in counted.items()],
+        )
+        out = out.unionByName(lost.select("id").join(below, "id", "left").fillna(0).select("id", *names))
     if synonym:
         syn = df.filter(F.col(synonym)).groupBy(F.col(parent).alias("id")).agg(F.count(F.lit(1)).alias("num_synonyms"))
-        out = out.join(syn, "id", "left")
-    else:
-        out = out.withColumn("num_synonyms", F.lit(0).cast("long"))
-    return out.fillna(0)
+        return out.join(syn, "id", "left").fillna(0)
+    return out.withColumn("num_synonyms", F.lit(0).cast("long"))
 
 
-def tree_stats(df: DataFrame, id_col: str = "id", parent: str = "parent", rank: str = "rank") -> DataFrame:
-    """One row: rows, roots, greatest depth, and a count map by rank."""
+def tree_stats(df: DataFrame, id_col: str = "id", parent: str = "parent") -> DataFrame:
+    """One row: rows, roots and greatest depth."""
     p = paths(df, id_col, parent)
-    sizes = p.agg(F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("depth") == 0).cast("long")).alias("n_roots"), F.max("depth").alias("max_depth"))
-    return sizes
+    return p.agg(F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("depth") == 0).cast("long")).alias("n_roots"), F.max("depth").alias("max_depth"))
+
+
+def stats_counts(df: DataFrame, origin: str = "origin", rank: str = "rank", synonym: str = "is_synonym", ignored: int = 0, cycles: Sequence[str] = ()) -> DataFrame:
+    """(metric, key, n): a normalized checklist's rows by origin and by rank, its synonyms, rows ignored and cycles cut."""
+    entries = F.array(F.struct(F.lit("origin").alias("metric"), F.col(origin).alias("key")), F.struct(F.lit("rank").alias("metric"), F.col(rank).alias("key")), F.struct(F.lit("synonyms").alias("metric"), F.when(F.col(synonym), "all").alias("key")))
+    counted = df.select(F.explode(entries).alias("e")).select("e.*").filter("key is not null").groupBy("metric", "key").agg(F.count(F.lit(1)).alias("n"))
+    given = df.sparkSession.createDataFrame([("ignored", "all", ignored), ("cycles", "all", len(cycles))], counted.schema)
+    return counted.unionByName(given.filter("n > 0"))
 
 
 def chunks(metrics_df: DataFrame, tree: DataFrame, least: int, most: int, id_col: str = "id", parent: str = "parent") -> DataFrame:
@@ -190,36 +256,50 @@ def contract(df: DataFrame, keep: Column, id_col: str = "id", parent: str = "par
 
 
 def terminals(links: DataFrame, src: str = "id", dst: str = "accepted") -> DataFrame:
-    """(id, terminal, steps, in_cycle): where chains of links end. Chains halve in each round by following the
-    link's link; a chain that comes back to its start is a cycle and ends at its least member."""
+    """(id, terminal, steps, in_cycle, endless): where chains of links end, after how many links.
+
+    Chains halve in each round by following the link's link, until none moves or the rounds span more links than there
+    are; what still moves then is on a cycle (``in_cycle``) or leads into one (``endless`` for both), ends at the
+    cycle's least member, and has no number of steps.
+    """
     step = links.select(F.col(src).alias("id"), F.col(dst).alias("at")).filter("id is not null and at is not null")
     state = materialize(step.select("id", "at", F.lit(1).cast("long").alias("steps"), F.least("id", "at").alias("low")))
-    rounds = 0
-    while rounds < 8 * MAX_DEPTH.bit_length():
+    n, reach = state.count(), 1
+    moving = n > 0
+    while moving and reach <= n:
         further = state.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("low").alias("_low"))
-        new = materialize(
+        # many chains meet in one row: that side is hot, and the adaptive join splits it
+        state = materialize(
             state.join(further, F.col("at") == F.col("_id"), "left").select(
                 "id", F.coalesce("_at", "at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.least("low", "_low").alias("low"), F.col("_id").isNotNull().alias("moved")
             )
         )
-        rounds += 1
-        state = new.drop("moved")
-        # chains have ended once nothing moves; only cycles move for ever, so stop when no chain can still be longer
-        moving = new.filter("moved")
-        if moving.isEmpty() or (1 << rounds) > MAX_DEPTH * 2:
-            break
-    endless = new.filter("moved").select("id", "low").withColumn("in_cycle", F.lit(True))
-    return new.select("id", "at", "steps").join(endless, "id", "left").select(
-        "id", F.when(F.col("in_cycle"), F.col("low")).otherwise(F.col("at")).alias("terminal"), "steps", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle")
-    )
+        moving = not state.filter("moved").isEmpty()
+        state, last = state.drop("moved"), state
+        reach *= 2
+    if not moving:
+        return state.select("id", F.col("at").alias("terminal"), "steps", F.lit(False).alias("in_cycle"), F.lit(False).alias("endless"))
+    # after more links than there are, every row that moves stands on a cycle, and each row of a cycle has seen all of it
+    endless = last.filter("moved")
+    ring = endless.select(F.col("at").alias("_ring")).distinct()
+    ring = materialize(ring.join(endless.select(F.col("id").alias("_ring"), F.col("low").alias("_least")), "_ring"))
+    joined = last.join(ring.select(F.col("_ring").alias("at"), "_least"), "at", "left").join(ring.select(F.col("_ring").alias("id"), F.lit(True).alias("_on")), "id", "left")
+    stuck = F.col("moved") & F.col("_least").isNotNull()
+    return joined.select("id", F.when(stuck, F.col("_least")).otherwise(F.col("at")).alias("terminal"), F.when(~stuck, F.col("steps")).alias("steps"), (stuck & F.col("_on").isNotNull()).alias("in_cycle"), stuck.alias("endless"))
 
 
 def flatten_synonyms(df: DataFrame, id_col: str = "id", accepted: str = "accepted") -> DataFrame:
-    """Synonyms of synonyms point at the accepted row at the chain's end. Rows of a cycle lose their link and are marked."""
+    """Synonyms of synonyms point at the accepted row at the chain's end. A cycle is cut at its least member, which
+    loses its link; the other members and what leads into the cycle point at a placeholder to be made for it.
+
+    Adds ``was_chained`` (the row's accepted row was a synonym itself, or it is the cut one) and ``cut``, the least
+    member of the cycle that the row ends in.
+    """
     ends = terminals(df.filter(F.col(accepted).isNotNull()), id_col, accepted).withColumnRenamed("id", "_id")
     joined = df.join(ends, F.col(id_col) == F.col("_id"), "left")
-    out = joined.withColumn(accepted, F.when(F.col("in_cycle"), F.lit(None)).otherwise(F.coalesce("terminal", accepted)))
-    return out.withColumn("was_chained", F.coalesce(F.col("in_cycle"), F.lit(False))).select(*df.columns, "was_chained")
+    out = joined.withColumn("cut", F.when(F.col("endless"), F.col("terminal"))).withColumn("was_chained", F.coalesce(F.col("endless") | (F.col("steps") > 1), F.lit(False)))
+    out = out.withColumn(accepted, F.when(F.col("endless"), F.lit(None)).otherwise(F.coalesce("terminal", accepted)))
+    return out.select(*df.columns, "was_chained", "cut")
 
 
 def parents_to_accepted(df: DataFrame, id_col: str = "id", parent: str = "parent", accepted: str = "accepted") -> DataFrame:
@@ -287,6 +367,18 @@ def contradictions(a: DataFrame, b: DataFrame, keys: Sequence[str], levels: Sequ
     return joined.select(*keys, flags.alias("levels")).filter(F.size("levels") > 0)
 
 
+def exists_in_classification(rows: DataFrame, df: DataFrame, fuzzy_family: bool = False, id_col: str = "id", parent: str = "parent", synonym: str = "is_synonym", rank: str = "rank") -> DataFrame:
+    """(id, search, found): whether a row, its accepted row or a parent of these is the row searched for. With
+    ``fuzzy_family`` the parent of a family that is searched for will do as well."""
+    wanted = rows.select("id", "search", F.col("search").alias("_one"))
+    if fuzzy_family:
+        family = df.filter((F.col(rank) == "FAMILY") & F.col(parent).isNotNull()).select(F.col(id_col).alias("search"), F.col(parent).alias("_one"))
+        wanted = wanted.unionByName(rows.join(family, "search").select("id", "search", "_one"))
+    closure = ancestors(df, id_col, parent, True, rows.select(F.col("id").alias(id_col)))
+    hits = wanted.join(closure.select("id", F.col("ancestor").alias("_one")), ["id", "_one"], "left_semi").select("id", "search", F.lit(True).alias("found")).distinct()
+    return rows.select("id", "search").distinct().join(hits, ["id", "search"], "left").fillna(False, ["found"])
+
+
 def homonym_context(homonyms: DataFrame, closure: DataFrame) -> DataFrame:
     """(name, id, distinct_ancestors): what sets rows of one name apart, the ancestors that they do not share."""
     with_up = homonyms.join(closure, "id").select("name", "id", "ancestor")

@@ -37,17 +37,37 @@ def ntz(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``). Where it is unset, a temporary folder serves a
+    local session; a cluster would scatter tables over its machines, so it is an error there."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="cladeworks-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+class Levels:
+    """A table that grows level by level: each is written below one folder, and all are read together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.schema, self.n = spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", None, 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a level and read it back; its rows are the walk's frontier."""
+        self.schema = df.schema
+        df.write.parquet(f"{self.path}/{self.n}")
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that is read more than once as a table in the shared folder, and read it from there.
 

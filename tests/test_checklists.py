@@ -65,11 +65,62 @@ def test_normalize(spark):
     out = normalize.normalize(core)
     u = {r.id: r for r in out["usages"].collect()}
     assert u["2"].parent == "1" and u["3"].accepted == "2" and u["4"].accepted == "2" and u["5"].parent == "2"
-    assert "RANK_INVALID" in u["5"].issues and "ACCEPTED_NAME_MISSING" in u["6"].issues and u["6"].accepted.startswith("new:")
+    assert "RANK_INVALID" in u["5"].issues and "ACCEPTED_NAME_USAGE_ID_INVALID" in u["6"].issues and u["6"].accepted == "nobody" and u["nobody"].status == "DOUBTFUL"
     higher = {r.scientific_name: r for r in u.values() if r.origin == "DENORMED_CLASSIFICATION"}
     assert set(higher) == {"Plantae", "Pinaceae"} and u["1"].parent == higher["Pinaceae"].id and higher["Pinaceae"].parent == higher["Plantae"].id
 
 
+def test_normalize_relations(spark):
+    """One branch for each given field: ids never fall through to names, unknown things become doubtful rows, cycles are cut."""
+    columns = "taxonID scientificName taxonRank taxonomicStatus parentNameUsageID parentNameUsage acceptedNameUsageID acceptedNameUsage originalNameUsageID originalNameUsage kingdom genus".split()
+    given = [
+        {"taxonID": "1", "scientificName": "Abies"}, {"taxonID": "2", "scientificName": "Abies alba", "parentNameUsageID": "1"}, {"taxonID": "3", "scientificName": "Abies beta", "parentNameUsageID": "999", "parentNameUsage": "Abies", "kingdom": "Plantae"},
+        {"taxonID": "4", "scientificName": "Abies gamma", "taxonomicStatus": "synonym", "taxonRank": "species"}, {"taxonID": "5", "scientificName": "Abies delta", "acceptedNameUsageID": "888", "acceptedNameUsage": "Abies alba", "kingdom": "Plantae"},
+        {"taxonID": "6", "scientificName": "Picea x", "parentNameUsage": "Picea"}, {"taxonID": "7", "scientificName": "Pinus"}, {"taxonID": "8", "scientificName": "Pinus"}, {"taxonID": "9", "scientificName": "Pinus y", "parentNameUsage": "Pinus"},
+        {"taxonID": "10", "scientificName": "Larix a", "acceptedNameUsageID": "11"}, {"taxonID": "11", "scientificName": "Larix b", "acceptedNameUsageID": "12"}, {"taxonID": "12", "scientificName": "Larix c", "acceptedNameUsageID": "11"},
+        {"taxonID": "13", "scientificName": "Larix d", "acceptedNameUsageID": "14"}, {"taxonID": "14", "scientificName": "Larix e", "acceptedNameUsageID": "2"}, {"taxonID": "15", "scientificName": "Larix f", "parentNameUsageID": "14"},
+        {"taxonID": "16", "scientificName": "Thuja", "acceptedNameUsageID": "2|7|777"}, {"taxonID": "17", "scientificName": "Thuja z", "acceptedNameUsage": "Quercus robur", "originalNameUsage": "Pinus"}, {"taxonID": "18", "scientificName": "Self", "parentNameUsageID": "18", "acceptedNameUsageID": "18"},
+    ]
+    core = spark.createDataFrame([tuple(r.get(c) for c in columns) for r in given], ", ".join(f"{c} string" for c in columns))
+    out = normalize.normalize(core)
+    u = {r.id: r for r in out["usages"].collect()}
+    names = {i: u[u[i].parent].scientific_name if u[i].parent else None for i in u}
+    assert {i: names[i] for i in map(str, range(1, 19))} == {
+        "1": None, "2": "Abies", "3": "Plantae", "4": "incertae sedis", "5": "Abies alba", "6": "Picea", "7": None, "8": None, "9": "Pinus", "10": "incertae sedis", "11": "incertae sedis", "12": "incertae sedis",
+        "13": "Abies alba", "14": "Abies alba", "15": "Abies alba", "16": "Abies alba", "17": "Quercus robur", "18": None,
+    }
+    assert {i: sorted(u[i].issues) for i in u if u[i].issues} == {
+        "3": ["PARENT_NAME_USAGE_ID_INVALID"], "4": ["ACCEPTED_NAME_MISSING"], "5": ["ACCEPTED_NAME_USAGE_ID_INVALID"], "9": ["PARENT_NAME_NOT_UNIQUE"], "10": ["CHAINED_SYNOYM"], "11": ["CHAINED_SYNOYM", "PARENT_CYCLE"], "12": ["CHAINED_SYNOYM"],
+        "13": ["CHAINED_SYNOYM"], "16": ["ACCEPTED_NAME_USAGE_ID_INVALID"], "17": ["ORIGINAL_NAME_NOT_UNIQUE"],
+    }
+    assert {u[i].origin for i in u if i.startswith("verbatim")} == {"VERBATIM_PARENT", "VERBATIM_ACCEPTED"} and u["888"].status == "DOUBTFUL" and names["888"] == "Plantae"
+    assert {i for i in u if u[i].is_synonym} == {"4", "5", "10", "11", "12", "13", "14", "16", "17"} and all("SYNONYM" in u[i].status for i in u if u[i].is_synonym)
+    assert [(r.synonym, r.accepted) for r in out["pro_parte"].collect()] == [("16", "7")]
+
+
+def test_long_chains_and_deep_trees(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 301)] + [(1000, 1001), (1001, 1002), (1002, 1001)], "id long, accepted long")
+    got = {r.id: (r.terminal, r.steps, r.in_cycle, r.endless) for r in tree.terminals(links).collect()}
+    assert all(got[i] == (301, 301 - i, False, False) for i in range(1, 301))
+    assert got[1000] == (1001, None, False, True) and got[1001] == got[1002] == (1001, None, True, True)
+    deep = spark.createDataFrame([(i, i - 1 if i else None, "SPECIES") for i in range(131)] + [(500, 501, "SPECIES"), (501, 500, "SPECIES"), (502, 501, "GENUS")], "id long, parent long, rank string")
+    assert tree.ancestors(deep).count() == 131 * 130 // 2 + 4
+    m = {r.id: (r.num_descendants, r.num_children, r.num_s) for r in tree.metrics(deep.filter("id < 12 or id >= 500"), counted={"SPECIES": "s"}).collect()}
+    assert all(m[i] == (11 - i, int(i < 11), 11 - i) for i in range(12)) and m[501] == (2, 2, 1) and m[502] == (0, 0, 0)
+
+
+def test_sorted_trees(spark):
+    edges = tree.relations(usages(spark), pro_parte=spark.createDataFrame([(7, 5)], "synonym long, accepted long"))
+    keys = usages(spark).select("id", tree.sibling_key("rank", "name", "name").alias("key"))
+    walk = lambda name: [r.id for r in tree.sorted_tree(edges, usages(spark).filter("id = 3"), name, keys).orderBy("sort_path").collect()]
+    assert walk("SORTED_TREE") == [3, 5, 7, 4, 7, 6] and walk("SORTED_TREE_WITHOUT_PRO_PARTE") == [3, 5, 4, 7, 6] and walk("SORTED_ACCEPTED_TREE") == [3, 5, 4, 6]
+    shown = tree.traverse(edges, usages(spark).filter("id = 2"), "TREE", ranks=usages(spark), lowest="SPECIES")
+    assert {r.id for r in shown.collect()} == {2, 3, 4, 5, 7}
+    asked = spark.createDataFrame([(6, 2), (7, 3), (7, 5), (1, 2)], "id long, search long")
+    assert {(r.id, r.search) for r in tree.exists_in_classification(asked, usages(spark)).collect() if r.found} == {(6, 2), (7, 3)}
+    assert {(r.id, r.search) for r in tree.exists_in_classification(asked, usages(spark), True).collect() if r.found} == {(6, 2), (7, 3), (1, 2)}
+
+
 def test_lookup_and_match(spark):
     taxa = spark.createDataFrame(
         [
