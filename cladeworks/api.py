@@ -160,20 +160,29 @@ class Store:
         rows = self._raw().filter(F.col("dataset") == (dataset or self.backbone))
         return search.page(search.suggestions(rows, prefix, "canonical_name", "rank", "id"), 0, limit, "id")
 
-    def match(self, queries: DataFrame, mode: str = "FUZZY") -> DataFrame:
-        """Match a batch of names against the backbone."""
-        rows = self._raw().filter(F.col("dataset") == self.backbone).select(F.col("id").alias("key"), F.col("canonical_name").alias("canonical"), "rank", "status")
-        higher = tree.classification(tree.ancestors(self._raw(), include_self=True), self._raw(), LINNEAN[:-1])
-        names = self._raw().select("id", "canonical_name")
-        for r in (x.lower() for x in LINNEAN[:-1]):
+    def _described(self, rows: DataFrame) -> DataFrame:
+        """Rows with the atoms of their authors, and names and ids of the rows above them by rank."""
+        ranks = [r.lower() for r in LINNEAN[:-1]]
+        everything = self._raw()
+        higher = tree.classification(tree.ancestors(everything, include_self=True, start=rows.select("id")), everything, LINNEAN[:-1])
+        names = everything.select("id", "canonical_name")
+        for r in ranks:
             higher = higher.join(names.select(F.col("id").alias(f"{r}_id"), F.col("canonical_name").alias(r)), f"{r}_id", "left")
-        higher = higher.select(F.col("id").alias("key"), *[r.lower() for r in LINNEAN[:-1]], *[F.col(f"{r.lower()}_id").alias(f"{r.lower()}_key") for r in LINNEAN[:-1]])
-        return matching.match(queries, rows.join(higher, "key", "left"), mode)
+        higher = higher.select("id", *ranks, *[F.col(f"{r}_id").alias(f"{r}_key") for r in ranks])
+        parsed = rows.withColumn("_p", parse_name(F.col("scientific_name")))
+        atoms = [F.col(f"_p.{c}").alias(c) for c in ("authorship", "year", "bracket_authorship", "bracket_year")]
+        return parsed.select("id", F.col("canonical_name").alias("canonical"), "rank", "status", *atoms).join(higher, "id", "left")
+
+    def match(self, queries: DataFrame, mode: str = "FUZZY") -> DataFrame:
+        """Match a batch of names against the backbone. Ancestors are found for backbone rows only."""
+        rows = self._described(self._raw().filter(F.col("dataset") == self.backbone)).withColumnRenamed("id", "key")
+        return matching.match(queries, rows, mode)
 
     def rematch(self, dataset: str) -> tuple[DataFrame, DataFrame]:
-        """(relations, summary): match a data set's rows, its higher names helping; unmatched rows are in the summary."""
+        """(relations, summary): match a data set's rows, their authors and higher names helping; unmatched rows are in the summary."""
         rows = self._raw().filter(F.col("dataset") == dataset)
-        found = self.match(rows.select(F.col("id").alias("qid"), F.col("canonical_name").alias("canonical"), "rank"))
+        asked = self._described(rows).withColumnRenamed("id", "qid").drop("status", *[f"{r.lower()}_key" for r in LINNEAN[:-1]])
+        found = self.match(asked)
         joined = rows.join(found.withColumnRenamed("qid", "id"), "id", "left")
         rel = joined.filter(F.col("match_type").isin("EXACT", "FUZZY")).select(F.col("id").alias("usage"), F.col("key").alias("nub"), F.lit(dataset).alias("source"))
         relevant = F.col("rank").isin("GENUS", *[r for r in ORDINAL if ORDINAL["SPECIES"] <= ORDINAL[r] < ORDINAL["OTHER"]])

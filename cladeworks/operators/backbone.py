@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.authors import EQUAL, DIFFERENT, compare_col
 from ..functions.names import match_key, parse_name, stem_epithet
 from ..functions.ranks import KINGDOMS, LINNEAN, ORDINAL, kingdom_match, ordinal, rank_match
-from ..sources.tables import materialize
+from ..sources.tables import Levels, materialize
 from .aggregates import priority
 from .relational import next_ids
 from .tree import contract, paths
@@ -73,59 +73,88 @@ def usable(parsed: DataFrame, **rules) -> DataFrame:
     return contract(flagged, F.col("_why").isNull(), "key", "parent_key").drop("_why")
 
 
-def _candidates(level: DataFrame, backbone: DataFrame) -> DataFrame:
-    """(key, id, place): backbone rows that a source row may be, best first."""
-    b = backbone.select(
+def _lookup_side(rows: DataFrame) -> DataFrame:
+    """What a source row is compared with, by the key of its name."""
+    return rows.select(
         match_key(F.coalesce("canonical", "name")).alias("_k"), "id", F.col("parent").alias("b_parent"), F.col("rank").alias("b_rank"), F.col("kingdom").alias("b_kingdom"), F.col("authorship").alias("b_author"),
-        F.col("year").alias("b_year"), F.col("is_synonym").alias("b_syn"), F.col("status").alias("b_status"),
+        F.col("year").alias("b_year"), F.col("is_synonym").alias("b_syn"), F.col("status").alias("b_status"), F.col("source").alias("b_source"),
     )
-    pairs = level.withColumn("_k", match_key(F.coalesce("canonical_name", "scientific_name"))).join(b, "_k")
-    pairs = pairs.filter(rank_match(F.col("rank"), F.col("b_rank")) & kingdom_match(F.col("kingdom"), F.col("b_kingdom")))
-    pairs = pairs.withColumn("_a", compare_col(F.col("authorship"), F.col("year"), F.col("b_author"), F.col("b_year"))).filter(F.col("_a") != DIFFERENT)
-    order = [
-        (F.col("_a") != EQUAL).cast("int"), (~F.col("rank").eqNullSafe(F.col("b_rank"))).cast("int"), (~F.col("nub_parent").eqNullSafe(F.col("b_parent"))).cast("int"),
-        (F.col("is_synonym") != F.col("b_syn")).cast("int"), (F.col("b_status") == "DOUBTFUL").cast("int"), "id",
-    ]
-    return pairs.select("key", "id", F.row_number().over(Window.partitionBy("key").orderBy(*order)).alias("place"))
+
+
+def _candidates(level: DataFrame, known: DataFrame, number: int) -> DataFrame:
+    """(key, id): the row of the backbone that a source row is.
+
+    Names above genus that the backbone has once are taken whatever their kingdom; of several, the one under the same
+    parent. Else kingdoms must not contradict and authors must not differ. An accepted name without author
+    is none of several synonyms with authors that come from the same source. The best one is equal in author and
+    rank, under the same parent, of the same kind and not doubtful.
+    """
+    pairs = level.join(known, "_k").filter(rank_match(F.col("rank"), F.col("b_rank")))
+    pairs = pairs.withColumn("_a", compare_col(F.col("authorship"), F.col("year"), F.col("b_author"), F.col("b_year")))
+    sibling = F.col("nub_parent").eqNullSafe(F.col("b_parent"))
+    high = ordinal(F.col("rank")) < ORDINAL["GENUS"]
+    of = Window.partitionBy("key")
+    pairs = pairs.withColumn("_same_rank", F.coalesce(F.max(F.col("rank") == F.col("b_rank")).over(of), F.lit(False))).filter(~(F.col("_same_rank") & (F.col("rank") != F.col("b_rank"))) | F.col("rank").isNull())
+    pairs = pairs.withColumn("_n", F.count(F.lit(1)).over(of))
+    fits = F.when(high, (F.col("_n") == 1) | sibling).otherwise(kingdom_match(F.col("kingdom"), F.col("b_kingdom")) & (F.col("_a") != DIFFERENT))
+    pairs = pairs.filter(fits)
+    foreign = ~F.col("is_synonym") & F.col("authorship").isNull() & F.col("b_syn") & F.col("b_author").isNotNull() & (F.col("b_source") == number)
+    pairs = pairs.withColumn("_all_foreign", F.min(F.coalesce(foreign, F.lit(False))).over(of)).filter("not _all_foreign")
+    order = F.struct(
+        (F.col("_a") != EQUAL).cast("int").alias("a"), (~F.col("rank").eqNullSafe(F.col("b_rank"))).cast("int").alias("b"), (~sibling).cast("int").alias("c"),
+        (F.col("is_synonym") != F.col("b_syn")).cast("int").alias("d"), (F.col("b_status") == "DOUBTFUL").cast("int").alias("e"), "id",
+    )
+    return pairs.groupBy("key").agg(F.min_by("id", order).alias("id"))
 
 
 def add_source(backbone: DataFrame, rows: DataFrame, number: int, next_id: int) -> tuple[DataFrame, int]:
-    """Merge one source of usable, parsed rows. Known rows gain what they lack, new ones hang on their parent's row."""
+    """Merge one source of usable, parsed rows. Known rows gain what they lack, new ones hang on their parent's row.
+
+    Levels are placed from the top down. A level is compared with the rows of the backbone whose names the source has,
+    found once, and with the rows that the levels above made; the backbone itself is rewritten once, at the end.
+    """
+    spark = backbone.sparkSession
     tree = materialize(paths(rows, "key", "parent_key", F.struct(ordinal(F.col("rank")).alias("o"), F.col("scientific_name").alias("n"))).select(F.col("id").alias("_key"), "depth", "sort_path"))
-    work = materialize(rows.join(tree, F.col("key") == F.col("_key")).drop("_key"))
+    work = materialize(rows.join(tree, F.col("key") == F.col("_key")).drop("_key").withColumn("_k", match_key(F.coalesce("canonical_name", "scientific_name"))))
     deepest = work.agg(F.max("depth")).first()[0]
-    placed = None
+    old = materialize(_lookup_side(backbone).join(work.select("_k"), "_k", "left_semi"))
+    placed, added, gained = Levels(spark), Levels(spark), Levels(spark)
     for depth in range((deepest if deepest is not None else -1) + 1):
         level = work.filter(F.col("depth") == depth).withColumn("is_synonym", F.coalesce(F.col("status").isin(*_SYNONYMS), F.lit(False)))
-        if placed is None:
+        if not placed.n:
             level = level.withColumns({"nub_parent": F.lit(None).cast("long"), "kingdom": F.when(F.col("rank") == "KINGDOM", F.upper(F.replace("canonical_name", F.lit(" "), F.lit("_"))))})
         else:
-            up = placed.select(F.col("key").alias("_pk"), F.col("nub").alias("nub_parent"), "kingdom")
+            up = placed.all().select(F.col("key").alias("_pk"), F.col("nub").alias("nub_parent"), "kingdom")
             level = level.join(up, F.col("parent_key") == F.col("_pk"), "left").drop("_pk")
         level = materialize(level)
-        best = _candidates(level, backbone).filter("place = 1").select("key", F.col("id").alias("_found"))
+        side = old.unionByName(_lookup_side(added.all())) if added.n else old
+        best = _candidates(level, side, number).select("key", F.col("id").alias("_found"))
         known = materialize(level.join(best, "key", "left"))
         # equal names within one level become one row, made from the first
-        fresh = known.filter("_found is null").withColumn("_same", F.concat_ws("\x01", match_key(F.coalesce("canonical_name", "scientific_name")), "rank", F.coalesce("authorship", F.lit("")), F.col("nub_parent").cast("string")))
-        fresh = priority(fresh, ["_same"], ["sort_path", "key"], "_first")
-        made = materialize(next_ids(fresh.filter("_first"), ["sort_path", "key"], next_id, "_new"))
+        fresh = known.filter("_found is null").withColumn("_same", F.concat_ws("\x01", "_k", "rank", F.coalesce("authorship", F.lit("")), F.col("nub_parent").cast("string")))
+        heads = fresh.groupBy("_same").agg(F.min_by("key", F.struct("sort_path", "key")).alias("key"))
+        made = materialize(next_ids(fresh.join(heads.select("key"), "key", "left_semi"), ["sort_path", "key"], next_id, "_new"))
         next_id += made.count()
-        new_rows = made.select(
+        new_rows = added.add(made.select(
             F.col("_new").alias("id"), F.col("nub_parent").alias("parent"), "rank", F.col("scientific_name").alias("name"), F.coalesce("canonical_name", "scientific_name").alias("canonical"), "authorship", "year",
             F.when(F.col("is_synonym"), F.col("status")).when(F.col("nub_parent").isNull() & (F.col("rank") != "KINGDOM"), "DOUBTFUL").otherwise(F.coalesce("status", F.lit("ACCEPTED"))).alias("status"),
             "is_synonym", F.coalesce("kingdom", F.lit("INCERTAE_SEDIS")).alias("kingdom"), F.lit(number).alias("source"), F.col("key").alias("source_key"), F.lit("SOURCE").alias("origin"), F.array().cast("array<string>").alias("issues"),
-        )
-        gains = known.filter("_found is not null").groupBy(F.col("_found").alias("_id")).agg(F.min_by("authorship", "sort_path").alias("_author"), F.min_by("year", "sort_path").alias("_year"), F.min_by("scientific_name", "sort_path").alias("_name"))
-        bare = F.col("authorship").isNull() & F.col("_author").isNotNull()
-        merged = backbone.join(gains, F.col("id") == F.col("_id"), "left").withColumns({"name": F.when(bare, F.col("_name")).otherwise(F.col("name")), "year": F.when(bare, F.col("_year")).otherwise(F.col("year")), "authorship": F.coalesce("authorship", "_author")})
-        backbone = materialize(merged.select(*backbone.columns).unionByName(new_rows))
+        ))
+        gained.add(known.filter("_found is not null").select(F.col("_found").alias("_id"), "authorship", "year", "scientific_name", "depth", "sort_path"))
         joined = fresh.select("key", "_same").join(made.select("_same", "_new"), "_same").select("key", F.col("_new").alias("nub"))
         ids = joined.unionByName(known.filter("_found is not null").select("key", F.col("_found").alias("nub")))
         # what hangs below a synonym hangs on its accepted row
-        at = backbone.select(F.col("id").alias("_id"), F.when(F.col("is_synonym"), F.coalesce("parent", "id")).otherwise(F.col("id")).alias("_acc"), F.col("kingdom").alias("_kingdom"))
-        now = materialize(ids.join(at, F.col("nub") == F.col("_id")).select("key", F.col("_acc").alias("nub"), F.col("_kingdom").alias("kingdom")))
-        placed = now if placed is None else materialize(placed.unionByName(now))
-    return backbone, next_id
+        at = side.select("id", F.col("b_parent").alias("parent"), F.col("b_syn").alias("is_synonym"), "b_kingdom").unionByName(new_rows.select("id", "parent", "is_synonym", F.col("kingdom").alias("b_kingdom")))
+        at = at.select(F.col("id").alias("_id"), F.when(F.col("is_synonym"), F.coalesce("parent", "id")).otherwise(F.col("id")).alias("_acc"), F.col("b_kingdom").alias("_kingdom")).distinct()
+        placed.add(ids.join(at, F.col("nub") == F.col("_id")).select("key", F.col("_acc").alias("nub"), F.col("_kingdom").alias("kingdom")))
+    if not placed.n:
+        return backbone, next_id
+    first = F.struct("depth", "sort_path")
+    gains = gained.all().groupBy("_id").agg(*[F.min_by(c, F.when(F.col("authorship").isNotNull(), first)).alias(f"_{c}") for c in ("authorship", "year", "scientific_name")])
+    merged = backbone.unionByName(added.all().select(*backbone.columns)).join(gains, F.col("id") == F.col("_id"), "left")
+    bare = F.col("authorship").isNull() & F.col("_authorship").isNotNull()
+    out = merged.withColumns({"name": F.when(bare, F.col("_scientific_name")).otherwise(F.col("name")), "year": F.when(bare, F.col("_year")).otherwise(F.col("year")), "authorship": F.coalesce("authorship", "_authorship")})
+    return materialize(out.select(*backbone.columns)), next_id
 
 
 def implicit_parents(backbone: DataFrame, next_id: int) -> tuple[DataFrame, int]:
@@ -223,28 +252,51 @@ def autonyms(backbone: DataFrame, next_id: int) -> tuple[DataFrame, int]:
     return kept.unionByName(rows), next_id + made.count()
 
 
+def _common_start(a, b) -> Column:
+    """Length of the start that two strings share."""
+    a, b = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
+    places = F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
+    return F.array_max(places)
+
+
 def flagged(backbone: DataFrame) -> DataFrame:
     """Issues: names that contradict their parent, empty genera, accepted duplicates, similar names, names older
-    than their genus. Duplicates after the best one become doubtful."""
+    than their genus. Duplicates after the best one become doubtful, and so do names that contradict their parent.
+
+    Of duplicates the better source's is best; of one source's the one whose name begins most like its parent's.
+    """
     up = backbone.select(F.col("id").alias("_pid"), F.col("canonical").alias("_pname"), F.col("rank").alias("_prank"), F.col("year").alias("_pyear"))
     species_below = backbone.filter((ordinal(F.col("rank")) >= ORDINAL["SPECIES"]) & ~F.col("is_synonym")).groupBy(F.col("parent").alias("_gid")).agg(F.count(F.lit(1)).alias("_n"))
     out = backbone.join(up, F.col("parent") == F.col("_pid"), "left").join(species_below, F.col("id") == F.col("_gid"), "left")
     live = ~F.col("is_synonym")
-    fit = Window.partitionBy("rank", "canonical", F.col("is_synonym")).orderBy((F.col("status") == "DOUBTFUL").cast("int"), F.coalesce("source", F.lit(2**31 - 1)), "id")
-    like = Window.partitionBy(match_key(F.col("canonical")), "rank", "kingdom", F.col("is_synonym")).orderBy("id")
-    out = out.withColumns({"_dup": live & (F.row_number().over(fit) > 1), "_first": F.first("canonical").over(like)})
+    out = out.withColumn("_key", match_key(F.col("canonical")))
+    # groups may be large, so their best row is found by an aggregate and joined
+    fit = F.struct((F.col("status") == "DOUBTFUL").cast("int").alias("a"), F.coalesce("source", F.lit(2**31 - 1)).alias("b"), (-_common_start("canonical", "_pname")).alias("c"), "id")
+    heads = out.filter(live & F.col("rank").isNotNull()).groupBy(F.col("rank").alias("_hrank"), F.col("canonical").alias("_hname")).agg(F.min_by("id", fit).alias("_head"))
+    likes = out.filter("rank is not null and kingdom is not null").groupBy(F.col("_key").alias("_lkey"), F.col("rank").alias("_lrank"), F.col("kingdom").alias("_lkingdom"), F.col("is_synonym").alias("_lsyn")).agg(F.min_by("canonical", "id").alias("_first"))
+    out = out.join(heads, (F.col("rank") == F.col("_hrank")) & (F.col("canonical") == F.col("_hname")), "left")
+    out = out.join(likes, (F.col("_key") == F.col("_lkey")) & (F.col("rank") == F.col("_lrank")) & (F.col("kingdom") == F.col("_lkingdom")) & (F.col("is_synonym") == F.col("_lsyn")), "left")
+    out = out.withColumn("_dup", live & F.coalesce(F.col("_head") != F.col("id"), F.lit(False)))
     starts = F.col("canonical").startswith(F.concat(F.col("_pname"), F.lit(" ")))
+    mismatch = F.coalesce(live & F.col("_prank").isin("GENUS", "SPECIES") & (ordinal(F.col("rank")) >= ORDINAL["SPECIES"]) & ~starts, F.lit(False))
     years = lambda c: F.regexp_extract(c, "[0-9]{4}", 0)
     issues = F.array_compact(
         F.array(
-            F.when(live & F.col("_prank").isin("GENUS", "SPECIES") & (ordinal(F.col("rank")) >= ORDINAL["SPECIES"]) & ~starts, F.lit("NAME_PARENT_MISMATCH")),
+            F.when(mismatch, F.lit("NAME_PARENT_MISMATCH")),
             F.when(live & (F.col("rank") == "GENUS") & F.col("_n").isNull(), F.lit("NO_SPECIES")),
             F.when(F.col("_dup"), F.lit("DUPLICATE_ACCEPTED")),
             F.when(live & (F.col("_first") != F.col("canonical")), F.lit("SIMILAR_NAME")),
             F.when((F.col("_prank") == "GENUS") & (years(F.col("year")) != "") & (years(F.col("_pyear")) != "") & (years(F.col("year")) < years(F.col("_pyear"))), F.lit("PUBLISHED_BEFORE_GENUS")),
         )
     )
-    return out.withColumns({"issues": F.array_union("issues", issues), "status": F.when(F.col("_dup"), "DOUBTFUL").otherwise(F.col("status"))}).select(*backbone.columns)
+    return out.withColumns({"issues": F.array_union("issues", issues), "status": F.when(F.col("_dup") | mismatch, "DOUBTFUL").otherwise(F.col("status"))}).select(*backbone.columns)
+
+
+def without_empty_implicit(backbone: DataFrame) -> DataFrame:
+    """Genera that were only made for their species go once nothing hangs on them."""
+    used = backbone.filter("parent is not null").select(F.col("parent").alias("id"))
+    made = (F.col("origin") == "IMPLICIT_NAME") & (F.col("rank") == "GENUS")
+    return backbone.filter(~made).unionByName(backbone.filter(made).join(used, "id", "left_semi").select(*backbone.columns))
 
 
 def doubt_subtrees(backbone: DataFrame, heads: DataFrame, issue: str = "HOMONYM") -> DataFrame:
@@ -291,8 +343,9 @@ def check_assertions(backbone: DataFrame, expected: DataFrame) -> DataFrame:
     return hit.groupBy(*e.columns).agg(F.max("_ok").alias("ok")).filter("not ok").select(*[F.col(f"e_{c}").alias(c) for c in expected.columns])
 
 
-def build(spark: SparkSession, sources: Sequence[DataFrame], **rules) -> DataFrame:
-    """The whole build over sources of eight columns, best first."""
+def build(spark: SparkSession, sources: Sequence[DataFrame], homonyms: DataFrame | None = None, **rules) -> DataFrame:
+    """The whole build over sources of eight columns, best first. ``homonyms`` (name, kingdom) are excluded ones, whose
+    subtrees become doubtful."""
     backbone, next_id = materialize(seed(spark)), len(KINGDOMS)
     for i, rows in enumerate(sources, 1):
         parsed = materialize(parsed_source(rows))
@@ -301,4 +354,5 @@ def build(spark: SparkSession, sources: Sequence[DataFrame], **rules) -> DataFra
     backbone = materialize(consolidate(backbone, materialize(basionym_groups(backbone))))
     backbone, next_id = ex_author_synonyms(backbone, next_id)
     backbone, next_id = autonyms(backbone, next_id)
-    return materialize(flagged(backbone))
+    backbone = materialize(flagged(without_empty_implicit(backbone)))
+    return backbone if homonyms is None else materialize(doubt_subtrees(backbone, homonyms))

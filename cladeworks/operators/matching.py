@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.authors import compare_col
+from ..functions.authors import compare, compare_col
 from ..functions.names import match_key
-from ..functions.ranks import LINNEAN, kingdom_match, kingdom_score, lookup, rank_match, rank_score
+from ..functions.ranks import LINNEAN, kingdom_match, kingdom_score, lookup, ordinal, rank_match, rank_score
 from ..functions.similarity import block_edits, classification_similarity, name_similarity_col, normalize_confidence, pair_udf
+from ..sources.tables import materialize
 
 HIGHER = [r.lower() for r in LINNEAN[:-1]]
 STATUS_SCORE = {"ACCEPTED": 1, "SYNONYM": 0, "DOUBTFUL": -5}
@@ -29,56 +31,41 @@ def allowed_edits(name: Column) -> Column:
     return F.when(F.length(name) < 2, -1).when(F.length(name) > 10, 2).otherwise(1)
 
 
-def _segment(text: Column, length: Column, i: int, parts: int, shift=None) -> Column:
-    """Part ``i`` of ``parts`` of a string that has ``length`` letters, read ``shift`` places later."""
-    start = F.floor(F.lit(i) * length / parts).cast("int")
-    size = F.floor(F.lit(i + 1) * length / parts).cast("int") - start
-    at = start + 1 + (shift if shift is not None else F.lit(0))
-    return F.when((at >= 1) & (at + size - 1 <= F.length(text)), F.substring(text, at, size))
+def _keys(text: Column, edits: Column, probe: bool) -> Column:
+    """Blocking keys for a number of edits. An edit, a swap of neighbours included, spoils two of 2k + 1 segments at
+    most, so two names within k edits share one of them, moved by k places at most."""
+    parts = 2 * edits + 1
 
+    def entry(j: Column) -> Column:
+        # j counts segments, and for probes also differences in length and shifts, all from -k to k
+        i = F.pmod(j, parts)
+        shift = F.pmod(F.floor(j / parts), parts).cast("int") - edits if probe else F.lit(0)
+        length = F.length(text) + (F.floor(j / (parts * parts)).cast("int") - edits if probe else F.lit(0))
+        start = F.floor(i * length / parts).cast("int")
+        size = F.floor((i + 1) * length / parts).cast("int") - start
+        at = start + shift + 1
+        fits = (length > 0) & (at >= 1) & (at + size - 1 <= F.length(text))
+        return F.when(fits, F.concat_ws("\x01", F.substring(text, 1, 1), edits.cast("string"), length.cast("string"), i.cast("string"), F.substring(text, at, size)))
 
-def _keys(text: Column, edits: int, probe: bool) -> Column:
-    """Blocking keys. An edit, a swap of neighbours included, spoils two of 2k + 1 segments at most, so two names
-    within k edits share one of them, moved by k places at most."""
-    parts = 2 * edits + 1
-    first = F.substring(text, 1, 1)
-    entry = lambda length, i, s: F.concat_ws("\x01", first, length.cast("string"), F.lit(str(i)), s)
-    if not probe:
-        return F.array(*[entry(F.length(text), i, _segment(text, F.length(text), i, parts)) for i in range(parts)])
-    found = []
-    for d in range(-edits, edits + 1):
-        length = F.length(text) + d
-        for i in range(parts):
-            for s in range(-edits, edits + 1):
-                segment = _segment(text, length, i, parts, F.lit(s))
-                found.append(F.when(segment.isNotNull() & (length > 0), entry(length, i, segment)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
-
-
-def within_edits(edits: Column, a: Column, b: Column) -> Column:
-    """The distance with swaps, or -1 beyond ``edits``. The JVM's plain distance rules most pairs out first."""
-    plain = F.levenshtein(a, b)
-    swapped = pair_udf(lambda x, y: block_edits(x, y, 1), "int")(a, b)
-    exact = F.when(plain <= 1, plain).when(plain <= 2 * edits, swapped)
-    return F.when(exact <= edits, exact).otherwise(-1)
+    return F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), (parts * parts * parts if probe else parts) - 1), entry)))
 
 
 def fuzzy_pairs(queries: DataFrame, names: DataFrame, query_key: str, name_key: str) -> DataFrame:
     """(query_key, name_key, edits) of distinct keys with the same first letter within the allowed edits.
 
-    Both sides are reduced to distinct keys before blocking; hot segments are split by the adaptive join.
+    Both sides are reduced to distinct keys before blocking; hot segments are split by the adaptive join. The JVM's
+    plain distance settles most pairs; only those between one and two times the allowed edits may hide swaps.
     """
     q = queries.select(F.col(query_key).alias("q")).filter("q is not null").distinct().withColumn("k", allowed_edits(F.col("q"))).filter("k > 0")
-    n = names.select(F.col(name_key).alias("n")).filter("n is not null and length(n) > 0").distinct()
-    found = None
-    for k in (1, 2):
-        left = q.filter(F.col("k") == k).select("q", "k", F.explode(_keys(F.col("q"), k, True)).alias("key"))
-        right = n.select("n", F.explode(_keys(F.col("n"), k, False)).alias("key"))
-        pairs = left.join(right, "key").select("q", "k", "n").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    near = found.filter(F.levenshtein("q", "n") <= 2 * F.col("k"))
-    scored = near.withColumn("edits", within_edits(F.col("k"), F.col("q"), F.col("n")))
-    return scored.filter("edits >= 0").select(F.col("q").alias(query_key), F.col("n").alias(name_key), "edits")
+    n = names.select(F.col(name_key).alias("n")).filter("n is not null and length(n) > 0").distinct().withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    left = q.select("q", "k", F.explode(_keys(F.col("q"), F.col("k"), True)).alias("key"))
+    right = n.select("n", F.explode(_keys(F.col("n"), F.col("k"), False)).alias("key"))
+    near = left.join(right, "key").withColumn("plain", F.levenshtein("q", "n")).filter(F.col("plain") <= 2 * F.col("k")).select("q", "k", "n", "plain").distinct()
+    near = materialize(near)
+    swapped = pair_udf(lambda x, y: block_edits(x, y, 1), "int")(F.col("q"), F.col("n"))
+    sure = near.filter("plain <= 1").select("q", "n", F.col("plain").alias("edits"))
+    maybe = near.filter("plain > 1").select("q", "n", "k", swapped.alias("edits")).filter("edits <= k").select("q", "n", "edits")
+    return sure.unionByName(maybe).select(F.col("q").alias(query_key), F.col("n").alias(name_key), "edits")
 
 
 def candidates(queries: DataFrame, backbone: DataFrame, fuzzy: bool = True, limit: int = MAX_CANDIDATES) -> DataFrame:
@@ -96,6 +83,11 @@ def candidates(queries: DataFrame, backbone: DataFrame, fuzzy: bool = True, limi
     else:
         pairs = q.select("qkey").filter("length(qkey) > 0").distinct().select("qkey", F.col("qkey").alias("bkey"), F.lit(0).alias("edits"))
     joined = q.join(pairs, "qkey").join(side, "bkey")
+    if "rank" in queries.columns and "rank" in backbone.columns:
+        # an aggregate that is spelled like taxa of other ranks leaves these, and all merely similar names, to higher matches
+        other = (F.col("rank") == "SPECIES_AGGREGATE") & (F.col("edits") == 0) & ~F.col("usage.rank").eqNullSafe("SPECIES_AGGREGATE")
+        joined = joined.withColumn("_other", F.coalesce(other, F.lit(False)))
+        joined = joined.withColumn("_any", F.max("_other").over(Window.partitionBy("qid"))).filter(~F.col("_other") & ~(F.col("_any") & (F.col("edits") > 0))).drop("_other", "_any")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("edits", "usage.key"))
     return joined.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place", "qkey", "bkey")
 
@@ -108,17 +100,32 @@ def _name_score(name: Column, kind: Column, ref: Column, similarity: Column) ->
     return F.when(F.lower(name) == F.lower(ref), straight).otherwise(fuzzy)
 
 
-def _author_score(q: str, u: str) -> Column:
-    points = lambda e, k: F.when(e == "EQUAL", 2 * k).when(e == "DIFFERENT", -3 * k).otherwise(0)
-    c = lambda side, name: F.col(f"{side}{name}")
-    recomb = compare_col(c(q, "authorship"), c(q, "year"), c(u, "authorship"), c(u, "year"))
-    bracket = compare_col(c(q, "bracket_authorship"), c(q, "bracket_year"), c(u, "bracket_authorship"), c(u, "bracket_year"))
-    crossed = F.when(
-        c(q, "bracket_authorship").isNotNull(), compare_col(c(q, "bracket_authorship"), c(q, "bracket_year"), c(u, "authorship"), c(u, "year"))
-    ).when(c(u, "bracket_authorship").isNotNull(), compare_col(c(q, "authorship"), c(q, "year"), c(u, "bracket_authorship"), c(u, "bracket_year"))).otherwise(F.lit("UNKNOWN"))
+_AUTHORS = ("authorship", "year", "bracket_authorship", "bracket_year")
+
+
+def _compared(*atoms: Column) -> Column:
+    """Equality of recombination authors, of original authors, and across where one side has no original author."""
+
+    def one(x: tuple) -> tuple[str, str, str]:
+        a, ya, ba, bya, c, yc, bc, byc = x
+        crossed = compare(ba, bya, c, yc) if ba is not None else compare(a, ya, bc, byc) if bc is not None else "UNKNOWN"
+        return compare(a, ya, c, yc), compare(ba, bya, bc, byc), crossed
+
+    @F.pandas_udf("recomb string, bracket string, crossed string")
+    def run(packed: pd.DataFrame) -> pd.DataFrame:
+        known: dict[tuple, tuple[str, str, str]] = {}
+        rows = [tuple(None if pd.isna(v) else v for v in x) for x in packed.itertuples(index=False)]
+        return pd.DataFrame([known[x] if x in known else known.setdefault(x, one(x)) for x in rows], columns=["recomb", "bracket", "crossed"])
+
+    return run(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(atoms)]))
+
+
+def _author_score(e: Column) -> Column:
+    points = lambda x, k: F.when(x == "EQUAL", 2 * k).when(x == "DIFFERENT", -3 * k).otherwise(0)
+    bracket, crossed = e["bracket"], e["crossed"]
     final = F.when(bracket == "UNKNOWN", crossed).otherwise(bracket)
     shift = F.when(bracket == "UNKNOWN", F.when(crossed == "EQUAL", -1).when(crossed == "DIFFERENT", 1).otherwise(0)).otherwise(0)
-    return points(recomb, 3) + points(final, 1) + shift
+    return points(e["recomb"], 3) + points(final, 1) + shift
 
 
 def _worse(score: Column, factor: int) -> Column:
@@ -132,19 +139,29 @@ def score(cands: DataFrame, mode: str = "FUZZY") -> DataFrame:
     ``usage`` have the same and status. A missing column counts as null.
     """
     usage = [f.name for f in cands.schema["usage"].dataType.fields]
-    wanted = ["type", "rank", "authorship", "year", "bracket_authorship", "bracket_year", *HIGHER]
+    wanted = ["type", "rank", *_AUTHORS, *HIGHER]
+    authored = mode != "HIGHER" and any(c in cands.columns for c in _AUTHORS) and any(c in usage for c in _AUTHORS)
     df = cands.withColumns({c: F.lit(None).cast("string") for c in wanted if c not in cands.columns})
     df = df.withColumns({f"u_{c}": F.col(f"usage.{c}") if c in usage else F.lit(None).cast("string") for c in ["canonical", "status", *wanted]})
-    similar = name_similarity_col(F.col("canonical"), F.col("u_canonical"))
+    similar = F.lit(100.0)
+    if mode == "FUZZY":
+        # the Python functions run once for a row: their results are columns of a written table
+        df = df.withColumn("_similar", name_similarity_col(F.col("canonical"), F.col("u_canonical")))
+        similar = F.col("_similar")
+    if authored:
+        df = df.withColumn("_e", _compared(*[F.col(c).cast("string") for c in (*_AUTHORS, *[f"u_{c}" for c in _AUTHORS])]))
+    if mode == "FUZZY" or authored:
+        df = materialize(df)
+    author = _author_score(F.col("_e")) if authored else F.lit(0)
     parts = {"name_score": _name_score(F.col("canonical"), F.col("type") if mode != "HIGHER" else F.lit(None).cast("string"), F.col("u_canonical"), similar)}
     sides = {c: F.col(c) for c in HIGHER}, {c: F.col(f"u_{c}") for c in HIGHER}
     rank = rank_score(F.col("rank"), F.col("u_rank"))
     if mode == "STRICT":
-        parts["author_score"] = _worse(_author_score("", "u_") * 4, 8)
+        parts["author_score"] = _worse(author * 4, 8)
         parts["classification_score"] = _worse(kingdom_score(F.upper("kingdom"), F.upper("u_kingdom")), 10)
         parts["rank_score"] = _worse(rank, 10)
     else:
-        parts["author_score"] = _worse(_author_score("", "u_") * 2, 2) if mode == "FUZZY" else F.lit(0)
+        parts["author_score"] = _worse(author * 2, 2) if mode == "FUZZY" else F.lit(0)
         parts["classification_score"] = classification_similarity(*sides)
         parts["rank_score"] = rank if mode == "FUZZY" else rank * 2
     parts["status_score"] = F.coalesce(lookup(F.col("u_status"), STATUS_SCORE), F.lit(0))
@@ -154,7 +171,7 @@ def score(cands: DataFrame, mode: str = "FUZZY") -> DataFrame:
     total = F.col("name_score")
     for p in list(parts)[1:]:
         total = total + F.col(p)
-    return df.withColumn("raw", total.cast("int")).drop(*[f"u_{c}" for c in ["canonical", "status", *wanted]])
+    return df.withColumn("raw", total.cast("int")).drop("_similar", "_e", *[f"u_{c}" for c in ["canonical", "status", *wanted]])
 
 
 def exclude(scored: DataFrame, keys: Sequence) -> DataFrame:
@@ -203,25 +220,81 @@ def pick(scored: DataFrame, mode: str = "FUZZY") -> DataFrame:
     return agg.select("qid", F.when(good, key).alias("key"), kind.alias("match_type"), F.when(good, confidence).otherwise(99).cast("int").alias("confidence"), note.alias("note"))
 
 
+def _one_case(name: Column) -> Column:
+    """Names in capitals or small letters only are not parsed and not matched fuzzily."""
+    return (name == F.lower(name)) | (name == F.upper(name))
+
+
 def match(queries: DataFrame, backbone: DataFrame, mode: str = "FUZZY", climb: bool = True) -> DataFrame:
-    """Match a batch. Rows without a match climb: the genus of a binomial, then the higher names from the lowest up."""
-    found = pick(score(candidates(queries, backbone, mode == "FUZZY"), mode), mode)
+    """Match a batch: qid, key, match_type, confidence, note.
+
+    A given ``usage_key`` decides alone. Names in one case only, and those whose ``type`` cannot be parsed, are matched
+    strictly. A fuzzy species of another genus gives way to the genus asked for, if the families differ. Rows
+    without a match climb: the species of a trinomial, the genus, then the higher names from the lowest up.
+    """
+    if "usage_key" in queries.columns:
+        keyed = queries.filter("usage_key is not null").select("qid", F.col("usage_key").alias("key"))
+        known = backbone.select("key", F.lit(True).alias("_known"))
+        given = keyed.join(known, "key", "left").select("qid", F.when(F.col("_known"), F.col("key")).alias("key"), F.when(F.col("_known"), "EXACT").otherwise("NONE").alias("match_type"), F.lit(100).alias("confidence"), F.when(F.col("_known"), "the key decides, names are ignored").alias("note"))
+        return given.unionByName(match(queries.filter("usage_key is null").drop("usage_key"), backbone, mode, climb))
+    backbone = materialize(backbone)
+    plain = F.coalesce(_one_case(F.col("canonical")), F.lit(False))
+    if "type" in queries.columns:
+        plain = plain | F.coalesce(F.col("type").isin(*_STRICT_TYPES), F.lit(False))
+    queries = materialize(queries.withColumn("_strict", plain if mode == "FUZZY" else F.lit(mode == "STRICT")))
+    strict = queries.filter("_strict").drop("_strict")
+    if "rank" in queries.columns:
+        strict = strict.withColumn("rank", F.coalesce("rank", F.when(_one_case(F.col("canonical")), "UNRANKED")))
+    loose = queries.filter("not _strict").drop("_strict")
+    queries = queries.drop("_strict")
+    scored = materialize(score(candidates(loose, backbone, True), "FUZZY")) if mode == "FUZZY" else None
+    found = materialize(pick(score(candidates(strict, backbone, False), "STRICT"), "STRICT"))
+    if scored is not None:
+        first = pick(scored, "FUZZY")
+        found = materialize(found.unionByName(_prefer_genus(first, loose, backbone) if "rank" in [f.name for f in scored.schema["usage"].dataType.fields] else first))
     out = queries.select("qid").join(found, "qid", "left").fillna({"match_type": "NONE", "confidence": 100})
     if not climb or mode == "STRICT":
         return out
     given = [c for c in reversed(HIGHER) if c in queries.columns]
-    steps = [F.when(F.locate(" ", F.col("canonical")) > 0, F.struct(F.substring_index("canonical", " ", 1).alias("canonical"), F.lit("GENUS").alias("rank")))]
-    steps += [F.when(F.trim(c) != "", F.struct(F.trim(c).alias("canonical"), F.lit(c.upper()).alias("rank"))) for c in given]
+    word = lambda n: F.substring_index("canonical", " ", n)
+    blanks = F.length("canonical") - F.length(F.replace("canonical", F.lit(" "), F.lit("")))
+    ask = lambda cond, name, rank, fuzzy: F.when(cond, F.struct(name.alias("canonical"), rank.cast("string").alias("rank"), F.lit(fuzzy).alias("fuzzy")))
+    steps = [ask((blanks > 1) & ~_one_case(F.col("canonical")), word(2), F.lit("SPECIES"), True), ask((blanks > 0) & ~_one_case(F.col("canonical")), word(1), F.lit(None), False)]
+    # below the genus only names above it help further
+    steps += [ask((F.trim(c) != "") & ((blanks == 0) | _one_case(F.col("canonical")) | F.lit(c != "genus")), F.trim(c), F.lit(c.upper()), False) for c in given]
     missing = queries.join(out.filter("match_type = 'NONE'").select("qid"), "qid", "left_semi")
-    asked = missing.select("qid", F.posexplode(F.array_compact(F.array(*steps))).alias("step", "ask"), *given)
-    ladder = asked.select(F.struct("qid", "step").alias("qid"), F.col("ask.canonical").alias("canonical"), F.col("ask.rank").alias("rank"), *given)
-    climbed = pick(score(candidates(ladder, backbone, False), "HIGHER"), "HIGHER").filter("match_type <> 'NONE'")
-    best = climbed.groupBy(F.col("qid.qid").alias("qid")).agg(F.min_by(F.struct("key", "match_type", "confidence", "note"), F.col("qid.step")).alias("up"))
+    asked = materialize(missing.select("qid", F.posexplode(F.array_compact(F.array(*steps))).alias("step", "ask"), *given))
+    ladder = asked.select(F.struct("qid", "step").alias("qid"), F.col("ask.canonical").alias("canonical"), F.col("ask.rank").alias("rank"), F.col("ask.fuzzy").alias("fuzzy"), *given)
+    climbed = pick(score(candidates(ladder.filter("not fuzzy").drop("fuzzy"), backbone, False), "HIGHER"), "HIGHER")
+    species = ladder.filter("fuzzy").drop("fuzzy")
+    if not species.isEmpty():
+        climbed = climbed.unionByName(pick(score(candidates(species, backbone, True), "FUZZY"), "FUZZY").withColumn("match_type", F.when(F.col("match_type") != "NONE", "HIGHERRANK").otherwise("NONE")))
+    best = climbed.filter("match_type <> 'NONE'").groupBy(F.col("qid.qid").alias("qid")).agg(F.min_by(F.struct("key", "match_type", "confidence", "note"), F.col("qid.step")).alias("up"))
     return out.join(best, "qid", "left").select(
         "qid", *[F.coalesce(F.col(f"up.{c}"), F.col(c)).alias(c) for c in ("key", "match_type", "confidence", "note")]
     )
 
 
+def _prefer_genus(found: DataFrame, queries: DataFrame, backbone: DataFrame) -> DataFrame:
+    """Fuzzy matches of species or below whose genus is another one, and whose first higher name above the genus that
+    both sides know differs, give way to the genus of the query if the backbone has it."""
+    above = [c for c in reversed(HIGHER) if c not in ("genus", "species", "subgenus") and c in queries.columns and c in backbone.columns]
+    if not above:
+        return found
+    fuzzy = found.filter("match_type = 'FUZZY'").select("qid", "key").join(queries, "qid")
+    side = backbone.select("key", F.col("canonical").alias("_c"), F.col("rank").alias("_r"), *[F.col(c).alias(f"_u_{c}") for c in above])
+    differ = F.coalesce(*[F.when(F.col(c).isNotNull() & F.col(f"_u_{c}").isNotNull(), F.col(c) != F.col(f"_u_{c}")) for c in above], F.lit(False))
+    low = ordinal(F.col("_r")) >= ordinal(F.lit("SPECIES"))
+    genus = F.substring_index("canonical", " ", 1)
+    apart = fuzzy.join(side, "key").filter(low & differ & ~F.startswith(F.col("_c"), F.concat(genus, F.lit(" "))))
+    asked = materialize(apart.select("qid", genus.alias("canonical"), F.lit("GENUS").alias("rank"), *[c for c in HIGHER if c in queries.columns]))
+    if asked.isEmpty():
+        return found
+    genera = backbone.filter("rank = 'GENUS'")
+    better = pick(score(candidates(asked, genera, False), "HIGHER"), "HIGHER").filter("match_type <> 'NONE'").select("qid", F.struct("key", "match_type", "confidence", "note").alias("up"))
+    return found.join(better, "qid", "left").select("qid", *[F.when(F.col("up").isNotNull(), F.col(f"up.{c}")).otherwise(F.col(c)).alias(c) for c in ("key", "match_type", "confidence", "note")])
+
+
 def exact_lookup(queries: DataFrame, usages: DataFrame) -> DataFrame:
     """(qid, key): the one usage that a name stands for.
 

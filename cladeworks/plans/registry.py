@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, checklists, hierarchy, names, relational
+from . import analytics, checklists, facade, hierarchy, names, relational
 
-_MODULES = (relational, analytics, hierarchy, names, checklists)
+_MODULES = (relational, analytics, hierarchy, names, checklists, facade)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in _MODULES:

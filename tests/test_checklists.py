@@ -143,6 +143,32 @@ def test_lookup_and_match(spark):
     assert got[1] == (4, "FUZZY") and got[2] == (3, "HIGHERRANK") and got[3] == (None, "NONE") and got[4] == (5, "EXACT")
 
 
+def test_match_rules(spark):
+    taxa = spark.createDataFrame(
+        [
+            (1, "Abies alba", "SPECIES", "ACCEPTED", "Mill.", "Pinaceae"), (2, "Abies", "GENUS", "ACCEPTED", "Mill.", "Pinaceae"), (3, "Picea abies", "SPECIES", "ACCEPTED", "Karst.", "Pinaceae"),
+            (4, "Ables albus", "SPECIES", "ACCEPTED", None, "Carabidae"), (5, "Ranunculus auricomus", "SPECIES", "ACCEPTED", "L.", "Ranunculaceae"), (6, "Ranunculus", "GENUS", "ACCEPTED", None, "Ranunculaceae"), (7, "Bufo", "GENUS", "ACCEPTED", None, "Bufonidae"),
+            (8, "Pufo marinus", "SPECIES", "ACCEPTED", None, "Pufonidae"), (9, "Bufo marinus minor", "SUBSPECIES", "ACCEPTED", None, "Bufonidae"),
+        ],
+        "key long, canonical string, rank string, status string, authorship string, family string",
+    )
+    asked = spark.createDataFrame(
+        [
+            (1, "ABIES ALBA", None, None, None, None), (2, "abies alva", None, None, None, None), (3, "whatever", None, None, None, 3), (4, "whatever", None, None, None, 99), (5, "Ranunculus auricomus", "SPECIES_AGGREGATE", None, None, None),
+            (6, "Abies alba minor", None, None, None, None), (7, "Abies alba", "SPECIES", "Miller", "Pinaceae", None), (8, "Abies alba", "SPECIES", "Zzz", "Pinaceae", None), (9, "Picea abiez", "SPECIES", None, None, None), (10, "Abies nova", "SPECIES", None, "Pinaceae", None),
+        ],
+        "qid long, canonical string, rank string, authorship string, family string, usage_key long",
+    )
+    got = {r.qid: (r.key, r.match_type, r.confidence) for r in matching.match(asked, taxa).collect()}
+    assert {i: g[:2] for i, g in got.items()} == {
+        1: (1, "EXACT"), 2: (None, "NONE"), 3: (3, "EXACT"), 4: (None, "NONE"), 5: (6, "HIGHERRANK"), 6: (1, "HIGHERRANK"), 7: (1, "EXACT"), 8: (1, "EXACT"), 9: (3, "FUZZY"), 10: (2, "HIGHERRANK"),
+    }
+    assert got[7][2] > got[8][2]
+    toad = spark.createDataFrame([(1, "Bufo marinus", "SPECIES", "Bufonidae"), (2, "Bufo marinus", "SPECIES", "Pufonidae")], "qid long, canonical string, rank string, family string")
+    near = taxa.filter("key in (7, 8)").withColumn("canonical", F.when(F.col("key") == 8, "Buffo marinus").otherwise(F.col("canonical")))
+    assert {r.qid: (r.key, r.match_type) for r in matching.match(toad, near).collect()} == {1: (7, "HIGHERRANK"), 2: (8, "FUZZY")}
+
+
 def test_fuzzy_blocking_is_complete(spark):
     from random import Random
 
