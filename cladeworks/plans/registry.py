@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, checklists, facade, hierarchy, names, relational
+from . import analytics, checklists, facade, hierarchy, names, relational, taxonomy
 
-_MODULES = (relational, analytics, hierarchy, names, checklists, facade)
+_MODULES = (relational, analytics, hierarchy, names, checklists, facade, taxonomy)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in _MODULES:
