@@ -111,7 +111,7 @@ class Seeds:
         for p, q in self.hits(flat, doc, full):
             pair = doc[p] * len(self.ids) + self.item[q]
             # one hit of each alignment and short stretch is enough: a check reaches beyond it to both sides
-            keep = ~pd.DataFrame({"d": doc[p], "l": p - q, "s": p // (WINDOW // 2)}).duplicated().to_numpy()
+            keep = ~pd.DataFrame({"pair": pair, "line": p - q, "stretch": p // (WINDOW // 2)}).duplicated().to_numpy()
             p, q, pair = p[keep], q[keep], pair[keep]
             agreed = agreement(flat, sizes, doc, p, self.flat, self.sizes, self.item, q)
             ok = agreed > 0

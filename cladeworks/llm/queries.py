@@ -58,7 +58,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def sharding_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 with a limit that makes buckets of small tables split as well."""
+    return shard(read_table(spark, sf_dir, "documents"), limit=SPLIT_BYTES)
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 10 that SQL can express."""
+    return quality_rules(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 8 that SQL can express."""
+    return find_pii(read_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+#: Limit of ``sharding_splits``.
+SPLIT_BYTES = 64 << 10
+
 QUERIES = {
+    "sharding_splits": sharding_splits,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
@@ -136,5 +157,26 @@ good AS (
     WHEN p13 - p = 12 THEN 13 WHEN p12 - p <= 12 THEN 12 WHEN p11 - p <= 12 THEN 11 END AS agreed FROM reach)
 SELECT doc_id, item_id, max(agreed)::INTEGER AS agreed FROM good WHERE agreed IS NOT NULL GROUP BY ALL"""
 
+QUALITY_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+places AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, ws FROM w WHERE len(ws) >= 3),
+windows AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, ws[p], ws[p + 1], ws[p + 2]) AS n FROM places),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM windows WHERE n > 1) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+       (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN covered c USING (doc_id)"""
+
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT ELSE 2 * d[i]::INT - 9 * (d[i]::INT > 4)::INT END)) % 10 = 0"
+
+PII_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cards AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+')), '[^0-9]', '', 'g') AS d FROM t) WHERE length(d) BETWEEN 14 AND 19 AND {_LUHN} GROUP BY 1)
+SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+       len(list_filter(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: list_max(list_transform(string_split(m, '.'), lambda x: x::HUGEINT)) <= 255))::BIGINT AS n_ip,
+       coalesce(c.n, 0)::BIGINT AS n_card,
+       len(list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15))::BIGINT AS n_phone
+FROM t LEFT JOIN cards c USING (doc_id)"""
+
 #: Operators that SQL can express; the others are tested against brute force.
-SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION_SQL, "op5_sharding": sharding_sql(), "op6_substring_dedup": SUBSTRING_SQL}
+SQL: dict[str, str] = {"sharding_splits": sharding_sql(SPLIT_BYTES), "quality_base": QUALITY_SQL, "pii_base": PII_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op5_sharding": sharding_sql(), "op6_substring_dedup": SUBSTRING_SQL}
