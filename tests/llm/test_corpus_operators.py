@@ -86,6 +86,17 @@ def test_contamination(spark, block):
         assert {r.doc_id for r in decontamination.clean_rows(d, i).collect()} == set(range(len(docs))) - {a for a, _ in want}
 
 
+def test_contamination_by_neighbouring_pieces_of_one_passage():
+    r = random.Random(51)
+    for _ in range(20):
+        passage = [prose(r, 1) + str(i) for i in range(200)]
+        cuts = sorted({0, 200, *[r.randrange(200) for _ in range(14)]})
+        items = [" ".join(passage[a:b]) for a, b in zip(cuts, cuts[1:])]
+        text = " ".join(w if r.random() < 0.95 else "x" for w in passage)
+        got = {(int(a), int(b)): int(c) for a, b, c in decontamination.Seeds.of(list(range(len(items))), items).matches([text, ""]).to_numpy()}
+        assert got == {(0, i): n for i, item in enumerate(items) if (n := plain_contamination(text, item))}
+
+
 def test_contamination_by_runs_of_one_word(spark):
     seeds = decontamination.Seeds.of([1, 2], ["la " * 3000, "la " * 1500 + "lo " * 40])
     got = seeds.matches(["la " * 200_000, "no", "la " * 12 + "x"])
