@@ -140,10 +140,11 @@ def swap_index(df: DataFrame, folder: str, alias: str) -> str:
     stream = fs.create(hadoop.fs.Path(f"{folder}/{alias}.tmp"), True)
     stream.write(bytearray(target.encode()))
     stream.close()
-    final = hadoop.fs.Path(f"{folder}/{alias}.current")
-    fs.delete(final, False)
-    if not fs.rename(hadoop.fs.Path(f"{folder}/{alias}.tmp"), final):
-        raise OSError(f"the alias {alias} could not be moved")
+    # one rename that replaces: a reader finds the old target or the new one, never none
+    files = hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    modes = spark._sc._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    modes[0] = getattr(hadoop.fs.Options.Rename, "OVERWRITE")
+    files.rename(fs.makeQualified(hadoop.fs.Path(f"{folder}/{alias}.tmp")), fs.makeQualified(hadoop.fs.Path(f"{folder}/{alias}.current")), modes)
     return target
 
 

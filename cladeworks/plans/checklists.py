@@ -15,7 +15,7 @@ from ..sources.printers import lines
 from ..sources.tables import read_table as _t
 from ..sources.tables import shared_dir
 from ..streaming.imports import windowed_counts
-from .hierarchy import _SMALL, tree
+from .hierarchy import TREE_SQL, tree
 
 _DIGITS, _LETTERS = "0123456789", "abdefgilno"
 
@@ -50,7 +50,7 @@ def q_backbone_build(spark, d):
 
 def q_stable_ids(spark, d):
     """Genera of a previous backbone keep their ids; species get new ones from 10,000 on."""
-    built = B.build(spark, _sources(spark, d)[:1])
+    built = B.build(spark, _sources(spark, d))
     previous = built.filter("rank = 'GENUS'").withColumn("id", F.col("id") + 5000)
     ids = B.stable_ids(built, previous, 10_000)
     return built.join(ids, "id").groupBy("rank", "reissued").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("stable") >= F.when(F.col("reissued"), 5000).otherwise(10_000)).alias("in_range"))
@@ -94,7 +94,7 @@ def q_id_reports(spark, d):
 
 
 def q_tree_dot(spark, d):
-    return lines(tree(spark, d, orders=False), "DOT").select("line")
+    return lines(tree(spark, d), "DOT").select("line")
 
 
 def q_reparse(spark, d):
@@ -159,8 +159,8 @@ SQL = {
         UNION ALL SELECT 'resurrected', key FROM a WHERE NOT deleted AND key IN (SELECT key FROM b WHERE deleted)
         UNION ALL SELECT 'created', key FROM a WHERE NOT deleted AND key NOT IN (SELECT key FROM b))
       SELECT report, count(*)::BIGINT AS n, sum(key)::BIGINT AS total FROM x GROUP BY 1""",
-    "q_tree_dot": f"""WITH {_SMALL} SELECT 'n' || id || ' [label="' || name || '"];' AS line FROM tree UNION ALL SELECT 'n' || parent || ' -> n' || id || ';' FROM tree WHERE parent IS NOT NULL""",
+    "q_tree_dot": f"""WITH {TREE_SQL} SELECT 'n' || id || ' [label="' || name || '"];' AS line FROM tree UNION ALL SELECT 'n' || parent || ' -> n' || id || ';' FROM tree WHERE parent IS NOT NULL""",
     "q_combinations": "SELECT p_partkey AS id FROM part WHERE p_partkey // 10 = 5 AND p_partkey <> 5",
     "q_stream_counts": "SELECT time_bucket(INTERVAL '1 hour', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL",
-    "q_stable_ids": """SELECT 'GENUS' AS rank, true AS reissued, count(*)::BIGINT AS n, true AS in_range FROM nation UNION ALL SELECT 'FAMILY', false, count(*), true FROM region UNION ALL SELECT 'KINGDOM', false, 9, true""",
+    "q_stable_ids": """SELECT 'GENUS' AS rank, true AS reissued, count(*)::BIGINT AS n, true AS in_range FROM nation UNION ALL SELECT 'FAMILY', false, count(*), true FROM region UNION ALL SELECT 'SPECIES', false, count(*), true FROM supplier UNION ALL SELECT 'KINGDOM', false, 9, true""",
 }

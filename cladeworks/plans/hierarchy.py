@@ -67,12 +67,12 @@ def q_first_with_rank(spark, d):
 
 
 def q_path_order(spark, d):
-    p = T.paths(tree(spark, d, orders=False), key=T.sibling_key("rank", "name", "name"))
+    p = T.paths(tree(spark, d), key=T.sibling_key("rank", "name", "name"))
     return p.select("id", "depth", F.concat_ws("/", "path").alias("path"))
 
 
 def q_tree_lines(spark, d):
-    return T.render(tree(spark, d, orders=False), "id", "parent", "name", "rank").select("id", "line")
+    return T.render(tree(spark, d), "id", "parent", "name", "rank").select("id", "line")
 
 
 def q_contract(spark, d):
@@ -129,7 +129,7 @@ def q_synonym_terminals(spark, d):
 
 def q_move_children(spark, d):
     moves = read_table(spark, d, "nation").filter("n_nationkey % 2 = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("old"), F.concat(F.lit("n"), (F.col("n_nationkey") - 1).cast("string")).alias("new"))
-    return T.move_children(tree(spark, d, orders=False), moves).groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    return T.move_children(tree(spark, d), moves).groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_homonym_context(spark, d):
@@ -152,7 +152,7 @@ _METRICS = """SELECT t.id, count(u.id) FILTER (u.depth = 1)::BIGINT AS num_child
   FROM tree t LEFT JOIN up u ON u.ancestor = t.id LEFT JOIN tree c ON c.id = u.id GROUP BY t.id"""
 _SELF = "closure AS (SELECT * FROM up UNION ALL SELECT id, id, 0 FROM tree)"
 _SMALL = TREE_SQL.replace("\n  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'SPECIES', o_orderpriority FROM orders", "")
-_PATHS = f"""WITH RECURSIVE {_SMALL}, p AS (
+_PATHS = f"""WITH RECURSIVE {TREE_SQL}, p AS (
   SELECT id, name, rank, 0 AS depth, id AS path FROM tree WHERE parent IS NULL
   UNION ALL SELECT t.id, t.name, t.rank, p.depth + 1, p.path || '/' || t.id FROM p JOIN tree t ON t.parent = p.id) """
 _BROKEN = f"""WITH RECURSIVE {TREE_SQL}, b AS (
@@ -180,7 +180,7 @@ SQL = {
     "q_traverse_tree": _CLOSURE + f", {_SELF} SELECT c.ancestor AS root, c.id, c.depth FROM closure c JOIN tree t ON t.id = c.ancestor WHERE t.rank = 'PHYLUM'",
     "q_parents_and_accepted": _CLOSURE + "SELECT u.id AS root, count(*)::BIGINT AS n, max(depth) AS top FROM up u JOIN tree t USING (id) WHERE t.rank = 'SPECIES' GROUP BY u.id",
     "q_synonym_terminals": "SELECT p_partkey AS id, 1::BIGINT AS terminal, floor(log2(p_partkey))::BIGINT AS steps, false AS in_cycle FROM part WHERE p_partkey > 1",
-    "q_move_children": f"WITH {_SMALL} SELECT CASE WHEN parent LIKE 'n%' AND substr(parent, 2)::INT % 2 = 1 THEN 'n' || (substr(parent, 2)::INT - 1) ELSE parent END AS parent, count(*)::BIGINT AS n FROM tree GROUP BY 1",
+    "q_move_children": f"WITH {TREE_SQL} SELECT CASE WHEN parent LIKE 'n%' AND substr(parent, 2)::INT % 2 = 1 THEN 'n' || (substr(parent, 2)::INT - 1) ELSE parent END AS parent, count(*)::BIGINT AS n FROM tree GROUP BY 1",
     "q_homonym_context": _CLOSURE + """, a AS (SELECT t.name, t.id, u.ancestor FROM tree t JOIN up u USING (id) WHERE t.rank = 'SPECIES'),
       k AS (SELECT name, ancestor FROM a GROUP BY ALL HAVING count(DISTINCT id) = 1)
       SELECT name, id, string_agg(ancestor, ',' ORDER BY ancestor) AS distinct_ancestors FROM a SEMI JOIN k USING (name, ancestor) GROUP BY name, id""",

@@ -30,10 +30,10 @@ def q_clean_nulls(spark, d):
 
 
 def q_canonical_fallback(spark, d):
-    """The first word of a text, or the source where there is none."""
+    """The text as name, or the source where there is none."""
     docs = _t(spark, d, "documents")
-    word = F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.substring_index("text", " ", 1))
-    return docs.select("doc_id", C.canonical_or_name(word, F.col("source")).alias("name"))
+    word = F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.col("text"))
+    return docs.select("doc_id", F.md5(C.canonical_or_name(word, F.col("source"))).alias("name"))
 
 
 def q_html_strip(spark, d):
@@ -84,7 +84,8 @@ def q_authors_years(spark, d):
 
 def q_normalize_author(spark, d):
     s = _t(spark, d, "supplier")
-    raw = F.concat(F.lit("Müller & "), F.regexp_replace("s_name", "[#0-9]", ""), F.lit("-Boer ex Linné et Mill. in Foo "), F.col("s_suppkey").cast("string"))
+    word = F.initcap(F.translate(F.regexp_replace("s_name", "#", ""), "0123456789", "bcdfghklmn"))
+    raw = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Müller ex "), word, F.lit(" & Mill. in Foo"))).otherwise(F.concat(word, F.lit(" et Linné")))
     return s.select("s_suppkey", AU.normalize_author(raw).alias("author"))
 
 
@@ -128,14 +129,9 @@ def q_kingdoms(spark, d):
     return _t(spark, d, "part").groupBy(a.alias("a"), b.alias("b")).agg(F.max(RK.kingdom_match(a, b).cast("int")).alias("matches"), F.max(RK.kingdom_score(a, b)).alias("score"))
 
 
-def _two_words(spark, d):
-    words = F.lower(F.regexp_extract("text", "^([A-Za-z]+ [a-z]+) ", 1))
-    return _t(spark, d, "documents").select(words.alias("name")).filter("name <> ''").distinct()
-
-
 def q_fuzzy_pairs(spark, d):
-    """First words of documents as names: pairs within two edits (one if short), a swap counting once."""
-    n = _two_words(spark, d)
+    """Names of suppliers, nations and parts: pairs within two edits (one if short), a swap counting once."""
+    n = _t(spark, d, "supplier").select(F.lower("s_name").alias("name")).unionByName(_t(spark, d, "nation").select(F.lower("n_name").alias("name"))).unionByName(_t(spark, d, "part").select(F.lower("p_name").alias("name")))
     return M.fuzzy_pairs(n.withColumnRenamed("name", "query"), n, "query", "name").filter("query <> name")
 
 
@@ -217,7 +213,7 @@ _DOC_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')
 SQL = {
     "q_norm_name": f"SELECT p_partkey, {_GENUS} || ' ' || {_NORMED} AS normed, lower({_GENUS} || ' ' || {_NORMED}) AS match_key, {_GENUS} || ' ' || split_part(p_name, ' ', 2) || 'ytha' AS stem FROM part",
     "q_clean_nulls": "SELECT p_partkey, CASE WHEN p_size % 5 < 3 THEN NULL ELSE p_name END AS value FROM part",
-    "q_canonical_fallback": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN source ELSE coalesce(nullif(trim(split_part(text, ' ', 1)), ''), source) END AS name FROM documents",
+    "q_canonical_fallback": "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN source ELSE coalesce(nullif(trim(text), ''), source) END) AS name FROM documents",
     "q_html_strip": """SELECT page_id, md5(t) AS digest, length(t)::INTEGER AS n FROM (
       SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g')) AS t FROM pages)""",
     "q_json_verbatim": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total, 0::BIGINT AS n_missing FROM events GROUP BY 1",
@@ -233,7 +229,7 @@ SQL = {
         CASE WHEN s_suppkey % 5 <> 0 THEN '(1758)' END AS y, CASE WHEN s_suppkey % 7 <> 0 THEN 'Holmiae' END AS p FROM supplier)""",
     "q_authors_years": """SELECT years, CASE WHEN years = 'DIFFERENT' OR o = 2 THEN 'DIFFERENT' ELSE 'EQUAL' END AS both, count(*)::BIGINT AS n FROM (
       SELECT CASE WHEN abs(year(o_orderdate) - 1997) <= 1 THEN 'EQUAL' ELSE 'DIFFERENT' END AS years, o_orderkey % 3 AS o FROM orders) GROUP BY ALL""",
-    "q_normalize_author": "SELECT s_suppkey, 'linne,mill' AS author FROM supplier",
+    "q_normalize_author": "SELECT s_suppkey, w || CASE WHEN s_suppkey % 2 = 0 THEN ',mill' ELSE ',linne' END AS author FROM (SELECT s_suppkey, translate(lower(replace(s_name, '#', '')), '0123456789', 'bcdfghklmn') AS w FROM supplier)",
     "q_edge_ngrams": """SELECT gram, count(*)::BIGINT AS n FROM (SELECT substr(w, 1, k::INTEGER) AS gram FROM (SELECT unnest(string_split(lower(n_name), '_')) AS w FROM nation), range(1, 6) t(k) WHERE k <= length(w)) GROUP BY 1""",
     "q_tagged_names": "SELECT coalesce(lang, '') || '_@_' || source AS tag, count(*)::BIGINT AS n FROM documents GROUP BY 1",
     "q_expand_genus": "SELECT p_partkey, upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) || ' alba' AS name FROM part",
@@ -246,7 +242,7 @@ SQL = {
       SELECT a, b, (a = b OR 'INCERTAE_SEDIS' IN (a, b) OR (a IN ('CHROMISTA', 'PROTOZOA') AND b IN ('ANIMALIA', 'FUNGI', 'PLANTAE', 'CHROMISTA', 'PROTOZOA'))
         OR (b IN ('CHROMISTA', 'PROTOZOA') AND a IN ('ANIMALIA', 'FUNGI', 'PLANTAE')) OR (a IN ('ARCHAEA', 'BACTERIA') AND b IN ('ARCHAEA', 'BACTERIA')))::INTEGER AS matches,
         CASE WHEN 'INCERTAE_SEDIS' IN (a, b) THEN 7 WHEN a = b THEN 10 WHEN a IN ('ARCHAEA', 'BACTERIA', 'CHROMISTA', 'FUNGI', 'PROTOZOA') AND b IN ('ARCHAEA', 'BACTERIA', 'CHROMISTA', 'FUNGI', 'PROTOZOA') THEN 8 ELSE -10 END AS score FROM k""",
-    "q_fuzzy_pairs": """WITH n AS (SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+ [a-z]+) ', 1)) AS name FROM documents), m AS (SELECT name FROM n WHERE name <> '')
+    "q_fuzzy_pairs": """WITH m AS (SELECT lower(s_name) AS name FROM supplier UNION SELECT lower(n_name) FROM nation UNION SELECT lower(p_name) FROM part)
       SELECT a.name AS query, b.name, damerau_levenshtein(a.name, b.name)::INTEGER AS edits FROM m a JOIN m b ON a.name[1] = b.name[1] AND a.name <> b.name
       WHERE damerau_levenshtein(a.name, b.name) <= CASE WHEN length(a.name) > 10 THEN 2 ELSE 1 END""",
     "q_exact_lookup": "SELECT s_suppkey AS qid, n_nationkey::BIGINT AS key FROM supplier JOIN nation ON n_name = 'NATION_' || (s_nationkey + 3)",

@@ -19,7 +19,7 @@ from ..operators import tree as T
 from ..sources import archives
 from ..sources.printers import lines
 from ..sources.tables import read_table as _t
-from .hierarchy import _CLOSURE, _SMALL, tree
+from .hierarchy import _CLOSURE, TREE_SQL, tree
 
 _NONE = F.lit(None).cast("string")
 
@@ -44,15 +44,15 @@ def q_rank_limited_walk(spark, d):
 
 def q_sorted_tree(spark, d):
     """The place of each row in the taxonomic order of its region."""
-    t = tree(spark, d, orders=False).withColumn("is_synonym", F.lit(False))
-    keys = t.select("id", T.sibling_key("rank", "name", "name").alias("key"))
+    t = tree(spark, d).withColumn("is_synonym", F.lit(False))
+    keys = t.select("id", T.sibling_key("rank", "name", "id").alias("key"))
     walked = T.sorted_tree(T.relations(t), t.filter("rank = 'KINGDOM'"), "SORTED_TREE", keys)
     return walked.select("root", "id", "depth", F.row_number().over(Window.partitionBy("root").orderBy("sort_path")).cast("long").alias("place"))
 
 
 def q_exists_in_classification(spark, d):
     """Whether each customer lies in the nation of half its own nation's key, and in Asia."""
-    t = tree(spark, d, orders=False).withColumn("is_synonym", F.lit(False))
+    t = tree(spark, d).withColumn("is_synonym", F.lit(False))
     c = _t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_nationkey")
     asked = c.select("id", F.concat(F.lit("n"), F.floor(F.col("c_nationkey") / 2).cast("string")).alias("search")).unionByName(c.select("id", F.lit("r2").alias("search")))
     return T.exists_in_classification(asked, t).select("id", "search", "found")
@@ -268,20 +268,20 @@ def q_tidy_higher(spark, d):
 
 def q_taxonomic_page(spark, d):
     """A page in the order of ranks and names."""
-    t = tree(spark, d, orders=False)
+    t = tree(spark, d)
     return R.page(t, R.taxonomic_order("rank", "name", "id"), 20, 60).select("id", "name")
 
 
 def q_tree_tab(spark, d):
-    return lines(tree(spark, d, orders=False), "TAB").select("line")
+    return lines(tree(spark, d), "TAB").select("line")
 
 
 def q_tree_xml(spark, d):
-    return lines(tree(spark, d, orders=False), "XML").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return lines(tree(spark, d), "XML").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_tree_gml(spark, d):
-    return lines(tree(spark, d, orders=False), "GML").select("line")
+    return lines(tree(spark, d), "GML").select("line")
 
 
 def q_source_from_store(spark, d):
@@ -327,9 +327,10 @@ SQL = {
     "q_rank_limited_walk": _CLOSURE + """, c AS (SELECT id, ancestor, depth FROM up UNION ALL SELECT id, id, 0 FROM tree)
       SELECT a.id AS root, t.id, c.depth FROM c JOIN tree t ON t.id = c.id JOIN tree a ON a.id = c.ancestor WHERE a.rank = 'KINGDOM' AND t.rank <> 'SPECIES'
       UNION ALL SELECT u.id, u.ancestor, u.depth FROM up u JOIN tree t ON t.id = u.id JOIN tree a ON a.id = u.ancestor WHERE t.rank = 'SPECIES' AND a.rank <> 'PHYLUM'""",
-    "q_sorted_tree": """WITH x AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 0 AS depth, NULL AS a, NULL AS b FROM region
-      UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1, n_name, NULL FROM nation UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey, 2, n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
-      SELECT root, id, depth, row_number() OVER (PARTITION BY root ORDER BY a NULLS FIRST, b NULLS FIRST) AS place FROM x""",
+    "q_sorted_tree": """WITH x AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 0 AS depth, NULL AS a, NULL AS b, NULL AS c, NULL AS e FROM region
+      UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1, n_name, NULL, NULL, NULL FROM nation UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey, 2, n_name, c_name, NULL, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT 'r' || n_regionkey, 'o' || o_orderkey, 3, n_name, c_name, o_orderpriority, 'o' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+      SELECT root, id, depth, row_number() OVER (PARTITION BY root ORDER BY a NULLS FIRST, b NULLS FIRST, c NULLS FIRST, e) AS place FROM x""",
     "q_exists_in_classification": """SELECT 'c' || c_custkey AS id, 'n' || (c_nationkey // 2) AS search, c_nationkey = c_nationkey // 2 AS found FROM customer
       UNION ALL SELECT 'c' || c_custkey, 'r2', n_regionkey = 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "q_synonym_cycles": """WITH p AS (SELECT p_partkey AS id, p_partkey % 10 AS r, (p_partkey // 10) % 10 = 9 AS loop FROM part)
@@ -367,11 +368,11 @@ SQL = {
       CASE WHEN p_size % 2 = 0 THEN 'INFRASPECIFIC_NAME' ELSE 'SPECIES' END AS rank, upper(p_name[1]) || substr({_W(1)}, 2) || ' ' || {_W(2)} || CASE WHEN p_size % 2 = 1 THEN '' WHEN p_size % 4 < 2 THEN ' minor' ELSE ' var. minor' END AS written FROM part""",
     "q_preferred_spelling": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'L.' ELSE s_name END AS author FROM supplier",
     "q_tidy_higher": "SELECT n_nationkey, CASE r_name WHEN 'ASIA' THEN 'Orient' WHEN 'EUROPE' THEN 'Occident' WHEN 'AMERICA' THEN NULL ELSE r_name END AS class FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "q_taxonomic_page": f"WITH {_SMALL} SELECT id, name FROM tree ORDER BY CASE rank WHEN 'KINGDOM' THEN 1 WHEN 'PHYLUM' THEN 2 ELSE 3 END, name, id LIMIT 60 OFFSET 20",
-    "q_tree_tab": f"WITH {_SMALL} SELECT id || chr(9) || coalesce(parent, '') || chr(9) || rank || chr(9) || name AS line FROM tree",
-    "q_tree_xml": f"""WITH {_SMALL}, t AS (SELECT *, CASE rank WHEN 'KINGDOM' THEN '' WHEN 'PHYLUM' THEN '  ' ELSE '    ' END AS pad FROM tree)
+    "q_taxonomic_page": f"WITH {TREE_SQL} SELECT id, name FROM tree ORDER BY CASE rank WHEN 'KINGDOM' THEN 1 WHEN 'PHYLUM' THEN 2 WHEN 'FAMILY' THEN 3 ELSE 4 END, name, id LIMIT 60 OFFSET 20",
+    "q_tree_tab": f"WITH {TREE_SQL} SELECT id || chr(9) || coalesce(parent, '') || chr(9) || rank || chr(9) || name AS line FROM tree",
+    "q_tree_xml": f"""WITH {TREE_SQL}, t AS (SELECT *, CASE rank WHEN 'KINGDOM' THEN '' WHEN 'PHYLUM' THEN '  ' WHEN 'FAMILY' THEN '    ' ELSE '      ' END AS pad FROM tree)
       SELECT line, count(*)::BIGINT AS n FROM (SELECT pad || '<' || lower(rank) || ' name="' || name || '">' AS line FROM t UNION ALL SELECT pad || '</' || lower(rank) || '>' FROM t) GROUP BY 1""",
-    "q_tree_gml": f"""WITH {_SMALL} SELECT 'node [ id ' || id || ' label "' || name || '" ]' AS line FROM tree UNION ALL SELECT 'edge [ source ' || parent || ' target ' || id || ' ]' FROM tree WHERE parent IS NOT NULL""",
+    "q_tree_gml": f"""WITH {TREE_SQL} SELECT 'node [ id ' || id || ' label "' || name || '" ]' AS line FROM tree UNION ALL SELECT 'edge [ source ' || parent || ' target ' || id || ' ]' FROM tree WHERE parent IS NOT NULL""",
     "q_source_from_store": """SELECT c_custkey AS key, c_custkey - 1 AS parent_key, CASE WHEN c_custkey % 5 = 0 THEN c_custkey - 2 END AS original_name_key,
       CASE WHEN c_custkey % 2 = 0 THEN 'DOUBTFUL' WHEN c_custkey % 3 = 0 THEN 'SYNONYM' ELSE 'ACCEPTED' END AS status, c_name AS scientific_name FROM customer WHERE c_custkey % 11 <> 0""",
     "q_lookup_table": "SELECT l_orderkey AS key, o_orderpriority AS canonical, count(DISTINCT l_partkey)::INTEGER AS n, min(l_partkey) AS least, false AS deleted FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
