@@ -204,11 +204,14 @@ def kingdom_score(a: Column, b: Column) -> Column:
 
 
 def rank_score(query: Column, ref: Column) -> Column:
-    """``rank_similarity`` as a lookup in a fixed table of pairs."""
-    table = {f"{a}|{b}": rank_similarity(a, b) for a in RANKS for b in RANKS}
-    alone = {r: rank_similarity(None, r) for r in RANKS}
-    return (
-        F.when(ref.isNull(), F.when(query.isNull(), 0).otherwise(-1))
-        .when(query.isNull(), lookup(ref, alone))
-        .otherwise(lookup(F.concat_ws("|", query, ref), table))
-    )
+    """``rank_similarity`` as a lookup in a fixed table of pairs, one letter for each pair in a single literal."""
+    table = "".join(chr(rank_similarity(a, b) + _SHIFT) for a in RANKS for b in RANKS)
+    alone = "".join(chr(rank_similarity(None, r) + _SHIFT) for r in RANKS)
+    place = {r: i for i, r in enumerate(RANKS)}
+    i, j = lookup(query, place), lookup(ref, place)
+    read = lambda letters, at: F.ascii(F.substring(F.lit(letters), at + 1, F.lit(1))) - _SHIFT
+    return F.when(ref.isNull(), F.when(query.isNull(), 0).otherwise(-1)).when(query.isNull(), read(alone, j)).otherwise(read(table, i * len(RANKS) + j))
+
+
+#: Makes all similarities printable letters.
+_SHIFT = 70

@@ -60,11 +60,15 @@ def fuzzy_pairs(queries: DataFrame, names: DataFrame, query_key: str, name_key:
     n = names.select(F.col(name_key).alias("n")).filter("n is not null and length(n) > 0").distinct().withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
     left = q.select("q", "k", F.explode(_keys(F.col("q"), F.col("k"), True)).alias("key"))
     right = n.select("n", F.explode(_keys(F.col("n"), F.col("k"), False)).alias("key"))
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     near = left.join(right, "key").withColumn("plain", F.levenshtein("q", "n")).filter(F.col("plain") <= 2 * F.col("k")).select("q", "k", "n", "plain").distinct()
-    near = materialize(near)
+    # a swap keeps the letters: e plain edits within k hide e - k swaps at least, so other edits are 2 k - e at most, and
+    # each of them changes two letters of the sorted ones at most
+    near = near.filter((F.col("plain") <= F.col("k")) | (F.levenshtein(letters("q"), letters("n")) <= 2 * (2 * F.col("k") - F.col("plain"))))
+    near = materialize(near.withColumn("sure", (F.col("plain") <= 1) | ((F.col("plain") <= F.col("k")) & (letters("q") != letters("n")))))
     swapped = pair_udf(lambda x, y: block_edits(x, y, 1), "int")(F.col("q"), F.col("n"))
-    sure = near.filter("plain <= 1").select("q", "n", F.col("plain").alias("edits"))
-    maybe = near.filter("plain > 1").select("q", "n", "k", swapped.alias("edits")).filter("edits <= k").select("q", "n", "edits")
+    sure = near.filter("sure").select("q", "n", F.col("plain").alias("edits"))
+    maybe = near.filter("not sure").select("q", "n", "k", swapped.alias("edits")).filter("edits <= k").select("q", "n", "edits")
     return sure.unionByName(maybe).select(F.col("q").alias(query_key), F.col("n").alias(name_key), "edits")
 
 

@@ -130,8 +130,8 @@ def q_kingdoms(spark, d):
 
 
 def q_fuzzy_pairs(spark, d):
-    """Names of suppliers, nations and parts: pairs within two edits (one if short), a swap counting once."""
-    n = _t(spark, d, "supplier").select(F.lower("s_name").alias("name")).unionByName(_t(spark, d, "nation").select(F.lower("n_name").alias("name"))).unionByName(_t(spark, d, "part").select(F.lower("p_name").alias("name")))
+    """Names of nations and parts: pairs within two edits (one if short), a swap counting once."""
+    n = _t(spark, d, "nation").select(F.lower("n_name").alias("name")).unionByName(_t(spark, d, "part").select(F.lower("p_name").alias("name")))
     return M.fuzzy_pairs(n.withColumnRenamed("name", "query"), n, "query", "name").filter("query <> name")
 
 
@@ -242,7 +242,7 @@ SQL = {
       SELECT a, b, (a = b OR 'INCERTAE_SEDIS' IN (a, b) OR (a IN ('CHROMISTA', 'PROTOZOA') AND b IN ('ANIMALIA', 'FUNGI', 'PLANTAE', 'CHROMISTA', 'PROTOZOA'))
         OR (b IN ('CHROMISTA', 'PROTOZOA') AND a IN ('ANIMALIA', 'FUNGI', 'PLANTAE')) OR (a IN ('ARCHAEA', 'BACTERIA') AND b IN ('ARCHAEA', 'BACTERIA')))::INTEGER AS matches,
         CASE WHEN 'INCERTAE_SEDIS' IN (a, b) THEN 7 WHEN a = b THEN 10 WHEN a IN ('ARCHAEA', 'BACTERIA', 'CHROMISTA', 'FUNGI', 'PROTOZOA') AND b IN ('ARCHAEA', 'BACTERIA', 'CHROMISTA', 'FUNGI', 'PROTOZOA') THEN 8 ELSE -10 END AS score FROM k""",
-    "q_fuzzy_pairs": """WITH m AS (SELECT lower(s_name) AS name FROM supplier UNION SELECT lower(n_name) FROM nation UNION SELECT lower(p_name) FROM part)
+    "q_fuzzy_pairs": """WITH m AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(p_name) FROM part)
       SELECT a.name AS query, b.name, damerau_levenshtein(a.name, b.name)::INTEGER AS edits FROM m a JOIN m b ON a.name[1] = b.name[1] AND a.name <> b.name
       WHERE damerau_levenshtein(a.name, b.name) <= CASE WHEN length(a.name) > 10 THEN 2 ELSE 1 END""",
     "q_exact_lookup": "SELECT s_suppkey AS qid, n_nationkey::BIGINT AS key FROM supplier JOIN nation ON n_name = 'NATION_' || (s_nationkey + 3)",
