@@ -199,9 +199,16 @@ class Store:
         nub = self["nub_rel"].select(F.col("usage").alias("id"), "nub").dropDuplicates(["id"])
         joined = rows.join(nub, "id", "left")
         totals = A.dataset_metrics(joined, "dataset", "name_id", F.col("is_synonym"), F.col("nub").isNotNull())
-        counts = A.counts_long(joined, {"rank": "rank", "status": "status"}, ["dataset"])
+        counts = A.counts_long(joined, {c: c for c in ("rank", "status", "origin", "kingdom", "constituent") if c in joined.columns}, ["dataset"])
         issues = joined.select("dataset", F.lit("issue").alias("metric"), F.explode("issues").alias("key")).groupBy("dataset", "metric", "key").agg(F.count(F.lit(1)).alias("n"))
-        return totals, counts.unionByName(issues)
+        counts = counts.unionByName(issues)
+        of = rows.select(F.col("id").alias("usage_id"), "dataset")
+        for kind in (k for k in EXTENSIONS if k in self.tables):
+            records = self[kind].join(of, "usage_id")
+            counts = counts.unionByName(records.groupBy("dataset").agg(F.lit("extension").alias("metric"), F.lit(kind).alias("key"), F.count(F.lit(1)).alias("n")))
+            if kind == "vernacular":
+                counts = counts.unionByName(A.counts_long(records, {"vernacular_language": "language"}, ["dataset"]))
+        return totals, counts
 
     def sitemap(self, size: int = 50_000) -> DataFrame:
         return relational.page_of(relational.current(self["usage"]).filter(F.col("dataset") == self.backbone).select("id"), ["id"], size)

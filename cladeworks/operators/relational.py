@@ -108,6 +108,12 @@ def same_name(df: DataFrame, name: str, id_col: str, other: str = "other_id") ->
     return df.join(side, F.col(name) == F.col("_name")).filter(F.col(id_col) != F.col(other)).drop("_name")
 
 
+def homonyms(df: DataFrame, name: str, id_col: str) -> DataFrame:
+    """Names that several rows have: the number of ordered pairs and the least id, without making the pairs."""
+    counted = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.countDistinct(id_col).alias("_n"), F.min(id_col).alias("least")).filter("_n > 1")
+    return counted.select(name, (F.col("_n") * (F.col("_n") - 1)).alias("n_pairs"), "least")
+
+
 def accepted_of(df: DataFrame, id_col: str = "id", parent: str = "parent", synonym: str = "is_synonym", name: str = "name") -> DataFrame:
     """What a synonym stores as parent is its accepted row: show that as such, and its parent as the parent."""
     acc = df.select(F.col(id_col).alias("_aid"), F.col(parent).alias("_aparent"), F.col(name).alias("accepted"))

@@ -203,5 +203,7 @@ SQL = {
     "q_api_suggest": _STORE + "SELECT id, 100::DOUBLE AS score FROM live WHERE dataset = 'backbone' AND lower(scientific_name) LIKE 'a%' ORDER BY id LIMIT 50",
     "q_api_metrics_totals": _STORE + "SELECT dataset, count(*)::BIGINT AS count_usages, (count(*) FILTER (is_synonym))::BIGINT AS count_synonyms, count(*)::BIGINT AS count_names, (count(*) FILTER (dataset = 'list'))::BIGINT AS count_nub FROM live GROUP BY 1",
     "q_api_metrics_counts": _STORE + """SELECT dataset, 'rank' AS metric, rank AS key, count(*)::BIGINT AS n FROM live GROUP BY 1, 3 UNION ALL SELECT dataset, 'status', CASE WHEN is_synonym THEN 'SYNONYM' ELSE 'ACCEPTED' END, count(*) FROM live GROUP BY 1, 3
-      UNION ALL SELECT dataset, 'issue', 'BACKBONE_MATCH_NONE', count(*) FROM live WHERE unmatched GROUP BY 1""",
+      UNION ALL SELECT dataset, 'issue', 'BACKBONE_MATCH_NONE', count(*) FROM live WHERE unmatched GROUP BY 1
+      UNION ALL SELECT 'list', 'extension', unnest(['vernacular', 'description', 'distribution']), n FROM (SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O')
+      UNION ALL SELECT 'list', 'vernacular_language', CASE WHEN l_returnflag = 'N' THEN 'en' ELSE 'de' END, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O' GROUP BY 3""",
 }

@@ -78,7 +78,7 @@ def q_linnean_view(spark, d):
 
 
 def q_nub_view(spark, d):
-    """Nine joins in one view: orders with customer, nation, region, and totals; ``deleted`` as a boolean."""
+    """Four joins in one view: orders with customer, nation, region, and totals; ``deleted`` as a boolean."""
     o, c, n, r = (_t(spark, d, x) for x in ("orders", "customer", "nation", "region"))
     lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n_lines"))
     out = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -86,9 +86,8 @@ def q_nub_view(spark, d):
 
 
 def q_homonyms(spark, d):
-    """Pairs of different parts of one name, counted by brand; the larger side is reduced first."""
-    p = _t(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    return R.same_name(p, "p_name", "p_partkey").groupBy("p_name").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("other_id").alias("least"))
+    """Pairs of different parts of one name, counted from the sizes of the groups."""
+    return R.homonyms(_t(spark, d, "part"), "p_name", "p_partkey")
 
 
 def q_components(spark, d):

@@ -51,11 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders of the tables that this process has written.
+_written: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this process has written, once nothing is computed from them any more."""
+    hadoop = spark._jvm.org.apache.hadoop
+    while _written:
+        path = hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    _written.append(f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 class Levels:
     """A table that grows level by level: each is written below one folder, and all are read together."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.path, self.schema, self.n = spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", None, 0
+        self.spark, self.path, self.schema, self.n = spark, _new_folder(spark), None, 0
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write a level and read it back; its rows are the walk's frontier."""
@@ -73,6 +90,6 @@ def materialize(df: DataFrame) -> DataFrame:
 
     This cuts the lineage, survives lost executors and, unlike a checkpoint, computes the rows only once.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = _new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
