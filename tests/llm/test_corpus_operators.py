@@ -210,6 +210,25 @@ def test_near_duplicates_that_share_a_passage(spark, monkeypatch):
     assert {(a, b) for a, b in links if got[a].class_id != got[b].class_id} == set()
 
 
+def test_near_duplicates_at_the_threshold_beside_a_shared_passage(spark):
+    """Recall of pairs just above the threshold, which share a passage with many texts below it."""
+    r = random.Random(65)
+    passage = prose(r, 60) + " z"
+    fresh = lambda n: " ".join(prose(r, 1) + str(r.randrange(10**9)) for _ in range(n))
+    texts = [f"{passage} {fresh(40)}" for _ in range(1500)]
+    for i in range(200):
+        shared = fresh(10)
+        texts += [f"{passage} {shared} {fresh(33 - i % 5)}" for _ in range(2)]
+    sets = [set(x.tolist()) for x in np.split(*(lambda f, c: (f, np.cumsum(c)[:-1]))(*near_duplicates.shingles(texts)))]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    pairs = [(i, i + 1) for i in range(1500, 1900, 2)]
+    assert all(0.5 <= alike(i, j) <= 0.56 for i, j in pairs) and max(alike(0, j) for j in range(1, 1900)) < 0.5
+    got = {x.doc_id: x.class_id for x in near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert found >= 196, found
+    assert all(got[i] == i for i in range(1500))
+
+
 def test_near_duplicates_count_all_links(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 100, raising=False)
     r = random.Random(63)
