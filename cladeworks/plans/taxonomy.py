@@ -21,7 +21,10 @@ from ..sources.printers import lines
 from ..sources.tables import read_table as _t
 from .hierarchy import _CLOSURE, TREE_SQL, tree
 
-_NONE = F.lit(None).cast("string")
+
+def _none():
+    """A null string; columns cannot be made before there is a session."""
+    return F.lit(None).cast("string")
 
 
 def q_roots(spark, d):
@@ -108,7 +111,7 @@ def q_normalize_relations(spark, d):
     base = lambda df, i, name: df.select(F.expr(i).alias("taxonID"), F.expr(name).alias("scientificName"))
     genera = base(n, "concat('n', n_nationkey)", "concat('Abies', translate(n_nationkey, '0123456789', 'abdefgilno'))").unionByName(base(n.filter("n_nationkey < 2"), "concat('m', n_nationkey)", "'Pinus'"))
     for c in ("parentNameUsageID", "parentNameUsage", "acceptedNameUsageID", "acceptedNameUsage", "taxonomicStatus", "originalNameUsage"):
-        genera = genera.withColumn(c, _NONE)
+        genera = genera.withColumn(c, _none())
     species = s.select(
         F.concat(F.lit("s"), k.cast("string")).alias("taxonID"), F.concat(F.lit("Picea "), F.translate(k.cast("string"), "0123456789", "abdefgilno"), F.lit("ensis")).alias("scientificName"),
         F.coalesce(case(0, F.lit("nobody")), case(1, F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))).alias("parentNameUsageID"), F.coalesce(case(2, F.lit("Pinus")), case(3, F.lit("Larix")), case(0, F.lit("Abiesa"))).alias("parentNameUsage"),
@@ -126,8 +129,8 @@ def q_source_filter(spark, d):
     at = lambda *xs: F.element_at(F.array(*[F.lit(x).cast("string") for x in xs]), (k + 1).cast("int"))
     rows = p.select(
         F.col("p_partkey").alias("key"), F.lit(None).cast("long").alias("parent_key"), F.lit(None).cast("long").alias("original_name_key"), at("SPECIES", "SPECIES", "SPECIES", "TRIBE", "SPECIES", "GENUS", "SUBSPECIES", "SPECIES", "ORDER").alias("rank"),
-        at("ACCEPTED", "MISAPPLIED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED").alias("status"), _NONE.alias("nom_status"),
-        at("Abies alba", "Abies alba", "Abies alba sensu Mill.", "Abieteae", "Abies", "Abies alba", "Abies alba", "Incertae sedis", "Pinales").alias("scientific_name"), _NONE.alias("published_in"),
+        at("ACCEPTED", "MISAPPLIED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED", "ACCEPTED").alias("status"), _none().alias("nom_status"),
+        at("Abies alba", "Abies alba", "Abies alba sensu Mill.", "Abieteae", "Abies", "Abies alba", "Abies alba", "Incertae sedis", "Pinales").alias("scientific_name"), _none().alias("published_in"),
     )
     why = B.parsed_source(rows).withColumn("why", B.rejection(above="FAMILY"))
     return why.groupBy("why").agg(F.count(F.lit(1)).alias("n"))
@@ -177,13 +180,13 @@ def q_exact_ladder(spark, d):
     """Segments as names of many customers: authors, spelling, deletion, status and the least key decide."""
     c = _t(spark, d, "customer")
     k = F.col("c_custkey")
-    u = c.select(k.alias("key"), F.concat(F.initcap("c_mktsegment"), F.lit(" alba")).alias("canonical"), F.lit("SPECIES").alias("rank"), F.lit("PLANTAE").alias("kingdom"), F.when(k % 3 == 0, "Mill.").when(k % 3 == 1, "Jones").alias("authorship"), _NONE.alias("year"),
+    u = c.select(k.alias("key"), F.concat(F.initcap("c_mktsegment"), F.lit(" alba")).alias("canonical"), F.lit("SPECIES").alias("rank"), F.lit("PLANTAE").alias("kingdom"), F.when(k % 3 == 0, "Mill.").when(k % 3 == 1, "Jones").alias("authorship"), _none().alias("year"),
         F.when(k % 2 == 0, "SYNONYM").otherwise("ACCEPTED").alias("status"), (k % 4 < 2).alias("deleted"))
     q = c.select(F.concat(F.initcap("c_mktsegment"), F.lit(" alba")).alias("canonical")).distinct()
-    kinds = [("miller", F.lit("Miller"), F.lit("SYNONYM")), ("none", _NONE, F.lit("ACCEPTED")), ("wrong", F.lit("Zzyzx"), F.lit("ACCEPTED"))]
+    kinds = [("miller", F.lit("Miller"), F.lit("SYNONYM")), ("none", _none(), F.lit("ACCEPTED")), ("wrong", F.lit("Zzyzx"), F.lit("ACCEPTED"))]
     asked = None
     for name, author, status in kinds:
-        part = q.select(F.concat_ws("/", "canonical", F.lit(name)).alias("qid"), "canonical", F.lit("SPECIES").alias("rank"), F.lit("PLANTAE").alias("kingdom"), author.alias("authorship"), _NONE.alias("year"), status.alias("status"))
+        part = q.select(F.concat_ws("/", "canonical", F.lit(name)).alias("qid"), "canonical", F.lit("SPECIES").alias("rank"), F.lit("PLANTAE").alias("kingdom"), author.alias("authorship"), _none().alias("year"), status.alias("status"))
         asked = part if asked is None else asked.unionByName(part)
     return M.exact_lookup(asked, u).select("qid", "key")
 
@@ -197,9 +200,9 @@ def q_match_scored(spark, d):
     col = lambda name, value: F.lit(value).alias(name)
     base = lambda key, canonical, rank, author: n.select(F.expr(key).cast("long").alias("key"), canonical.alias("canonical"), col("rank", rank), col("status", "ACCEPTED"), author.alias("authorship"), family.alias("family"))
     species = F.concat(genus, F.lit(" montanensis"))
-    taxa = base("n_nationkey", species, "SPECIES", F.lit("Mill.")).unionByName(base("100 + n_nationkey", genus, "GENUS", _NONE)).unionByName(base("200 + n_nationkey", F.concat(genus, F.lit(" vulgaris")), "SPECIES", _NONE)).unionByName(base("300 + n_nationkey", F.concat(genus, F.lit(" vulgaris")), "SPECIES", _NONE))
+    taxa = base("n_nationkey", species, "SPECIES", F.lit("Mill.")).unionByName(base("100 + n_nationkey", genus, "GENUS", _none())).unionByName(base("200 + n_nationkey", F.concat(genus, F.lit(" vulgaris")), "SPECIES", _none())).unionByName(base("300 + n_nationkey", F.concat(genus, F.lit(" vulgaris")), "SPECIES", _none()))
     ask = lambda tag, canonical, author: n.select(F.concat(F.lit(tag), F.col("n_nationkey").cast("string")).alias("qid"), canonical.alias("canonical"), col("rank", "SPECIES"), author.alias("authorship"), family.alias("family"))
-    asked = ask("right", species, F.lit("Miller")).unionByName(ask("other", species, F.lit("Zzyzx"))).unionByName(ask("typo", F.concat(genus, F.lit(" montonensis")), _NONE)).unionByName(ask("tie", F.concat(genus, F.lit(" vulgaris")), _NONE)).unionByName(ask("new", F.concat(genus, F.lit(" nova")), _NONE))
+    asked = ask("right", species, F.lit("Miller")).unionByName(ask("other", species, F.lit("Zzyzx"))).unionByName(ask("typo", F.concat(genus, F.lit(" montonensis")), _none())).unionByName(ask("tie", F.concat(genus, F.lit(" vulgaris")), _none())).unionByName(ask("new", F.concat(genus, F.lit(" nova")), _none()))
     return M.match(asked, taxa).select("qid", "key", "match_type", "confidence")
 
 
@@ -248,9 +251,9 @@ def q_assembled_names(spark, d):
     p = _t(spark, d, "part")
     w = lambda i: F.element_at(F.split("p_name", " "), i)
     third = F.when(F.col("p_size") % 2 == 0, F.lit("minor"))
-    full, rank = N.assemble(_NONE, F.initcap(w(1)), w(2), third, _NONE, F.when(F.col("p_size") % 3 == 0, "Mill."))
+    full, rank = N.assemble(_none(), F.initcap(w(1)), w(2), third, _none(), F.when(F.col("p_size") % 3 == 0, "Mill."))
     code = F.when(F.col("p_size") % 4 < 2, "ZOOLOGICAL").otherwise("BOTANICAL")
-    return p.select("p_partkey", full.alias("full"), rank.alias("rank"), N.format_name(F.initcap(w(1)), w(2), third, F.lit("VARIETY"), _NONE, code).alias("written"))
+    return p.select("p_partkey", full.alias("full"), rank.alias("rank"), N.format_name(F.initcap(w(1)), w(2), third, F.lit("VARIETY"), _none(), code).alias("written"))
 
 
 def q_preferred_spelling(spark, d):
@@ -289,7 +292,7 @@ def q_source_from_store(spark, d):
     c = _t(spark, d, "customer")
     k = F.col("c_custkey")
     usage = c.select(k.alias("id"), (k - 1).alias("parent_fk"), F.when(k % 5 == 0, k - 2).alias("basionym_fk"), F.lit("SPECIES").alias("rank"), F.when(k % 2 == 0, "DOUBTFUL").alias("status"), (k % 3 == 0).alias("is_synonym"), F.array().cast("array<string>").alias("nom_status"), k.alias("name_fk"), F.when(k % 11 == 0, True).alias("deleted"))
-    name = c.select(k.alias("id"), F.col("c_name").alias("scientific_name"), _NONE.alias("canonical_name"))
+    name = c.select(k.alias("id"), F.col("c_name").alias("scientific_name"), _none().alias("canonical_name"))
     return archives.source_from_store(usage, name).select("key", "parent_key", "original_name_key", "status", "scientific_name")
 
 
@@ -297,7 +300,7 @@ def q_lookup_table(spark, d):
     """Lines of an order as one pro parte synonym: a map from parent to key."""
     li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l"))
     usage = li.select((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("id"), F.col("l_orderkey").alias("pp_synonym_fk"), F.col("l_partkey").alias("parent_fk"), F.lit("SPECIES").alias("rank"), F.lit("SYNONYM").alias("status"), F.col("l_orderkey").alias("name_fk"), F.lit(None).cast("boolean").alias("deleted"))
-    name = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("scientific_name"), F.lit(" ").alias("canonical_name"), _NONE.alias("authorship"), _NONE.alias("year"))
+    name = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("scientific_name"), F.lit(" ").alias("canonical_name"), _none().alias("authorship"), _none().alias("year"))
     t = archives.lookup_table(usage, name)
     return t.select("key", "canonical", F.size("pro_parte").alias("n"), F.array_min(F.map_keys("pro_parte")).alias("least"), "deleted")
 
