@@ -82,6 +82,11 @@ def match_key(c: Column) -> Column:
     return F.lower(normalize_name(c))
 
 
+def exact_key(c: Column) -> Column:
+    """The key of names that have no spelling variants, such as codes spelled in letters: only case is folded."""
+    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+
+
 _PY = [(re.compile(p.replace(r"\p{L}", r"[^\W\d_]")), to.replace("$", "\\"), stem) for p, to, stem in _STRONG]
 
 

@@ -10,7 +10,7 @@ source, source_key, origin, issues.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,10 +73,10 @@ def usable(parsed: DataFrame, **rules) -> DataFrame:
     return contract(flagged, F.col("_why").isNull(), "key", "parent_key").drop("_why")
 
 
-def _lookup_side(rows: DataFrame) -> DataFrame:
+def _lookup_side(rows: DataFrame, name_key: Callable[[Column], Column]) -> DataFrame:
     """What a source row is compared with, by the key of its name."""
     return rows.select(
-        match_key(F.coalesce("canonical", "name")).alias("_k"), "id", F.col("parent").alias("b_parent"), F.col("rank").alias("b_rank"), F.col("kingdom").alias("b_kingdom"), F.col("authorship").alias("b_author"),
+        name_key(F.coalesce("canonical", "name")).alias("_k"), "id", F.col("parent").alias("b_parent"), F.col("rank").alias("b_rank"), F.col("kingdom").alias("b_kingdom"), F.col("authorship").alias("b_author"),
         F.col("year").alias("b_year"), F.col("is_synonym").alias("b_syn"), F.col("status").alias("b_status"), F.col("source").alias("b_source"),
     )
 
@@ -107,17 +107,18 @@ def _candidates(level: DataFrame, known: DataFrame, number: int) -> DataFrame:
     return pairs.groupBy("key").agg(F.min_by("id", order).alias("id"))
 
 
-def add_source(backbone: DataFrame, rows: DataFrame, number: int, next_id: int) -> tuple[DataFrame, int]:
+def add_source(backbone: DataFrame, rows: DataFrame, number: int, next_id: int, name_key: Callable[[Column], Column] = match_key) -> tuple[DataFrame, int]:
     """Merge one source of usable, parsed rows. Known rows gain what they lack, new ones hang on their parent's row.
 
     Levels are placed from the top down. A level is compared with the rows of the backbone whose names the source has,
     found once, and with the rows that the levels above made; the backbone itself is rewritten once, at the end.
+    Names of one ``name_key`` are one name: by default spelling variants are.
     """
     spark = backbone.sparkSession
     tree = materialize(paths(rows, "key", "parent_key", F.struct(ordinal(F.col("rank")).alias("o"), F.col("scientific_name").alias("n"))).select(F.col("id").alias("_key"), "depth", "sort_path"))
-    work = materialize(rows.join(tree, F.col("key") == F.col("_key")).drop("_key").withColumn("_k", match_key(F.coalesce("canonical_name", "scientific_name"))))
+    work = materialize(rows.join(tree, F.col("key") == F.col("_key")).drop("_key").withColumn("_k", name_key(F.coalesce("canonical_name", "scientific_name"))))
     deepest = work.agg(F.max("depth")).first()[0]
-    old = materialize(_lookup_side(backbone).join(work.select("_k"), "_k", "left_semi"))
+    old = materialize(_lookup_side(backbone, name_key).join(work.select("_k"), "_k", "left_semi"))
     placed, added, gained = Levels(spark), Levels(spark), Levels(spark)
     for depth in range((deepest if deepest is not None else -1) + 1):
         level = work.filter(F.col("depth") == depth).withColumn("is_synonym", F.coalesce(F.col("status").isin(*_SYNONYMS), F.lit(False)))
@@ -127,7 +128,7 @@ def add_source(backbone: DataFrame, rows: DataFrame, number: int, next_id: int)
             up = placed.all().select(F.col("key").alias("_pk"), F.col("nub").alias("nub_parent"), "kingdom")
             level = level.join(up, F.col("parent_key") == F.col("_pk"), "left").drop("_pk")
         level = materialize(level)
-        side = old.unionByName(_lookup_side(added.all())) if added.n else old
+        side = old.unionByName(_lookup_side(added.all(), name_key)) if added.n else old
         best = _candidates(level, side, number).select("key", F.col("id").alias("_found"))
         known = materialize(level.join(best, "key", "left"))
         # equal names within one level become one row, made from the first
@@ -343,13 +344,13 @@ def check_assertions(backbone: DataFrame, expected: DataFrame) -> DataFrame:
     return hit.groupBy(*e.columns).agg(F.max("_ok").alias("ok")).filter("not ok").select(*[F.col(f"e_{c}").alias(c) for c in expected.columns])
 
 
-def build(spark: SparkSession, sources: Sequence[DataFrame], homonyms: DataFrame | None = None, **rules) -> DataFrame:
+def build(spark: SparkSession, sources: Sequence[DataFrame], homonyms: DataFrame | None = None, name_key: Callable[[Column], Column] = match_key, **rules) -> DataFrame:
     """The whole build over sources of eight columns, best first. ``homonyms`` (name, kingdom) are excluded ones, whose
-    subtrees become doubtful."""
+    subtrees become doubtful. ``name_key`` is as in ``add_source``."""
     backbone, next_id = materialize(seed(spark)), len(KINGDOMS)
     for i, rows in enumerate(sources, 1):
         parsed = materialize(parsed_source(rows))
-        backbone, next_id = add_source(backbone, materialize(usable(parsed, **rules)), i, next_id)
+        backbone, next_id = add_source(backbone, materialize(usable(parsed, **rules)), i, next_id, name_key)
     backbone, next_id = implicit_parents(backbone, next_id)
     backbone = materialize(consolidate(backbone, materialize(basionym_groups(backbone))))
     backbone, next_id = ex_author_synonyms(backbone, next_id)

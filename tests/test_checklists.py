@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from cladeworks.functions import names
 from cladeworks.operators import backbone, matching, normalize, relational, search, tree
+from cladeworks.plans import checklists
 from cladeworks.sources import archives, printers
 
 USAGES = [
@@ -204,6 +206,25 @@ def test_backbone(spark):
     assert rows["Abies nigra Foo"].status == "SYNONYM" and rows["Abies alba alba"].origin == "AUTONYM"
 
 
+def number_tables(spark, folder):
+    """Suppliers of one nation whose numbers, spelled in letters, differ by doubled letters or an ending only."""
+    tables = {
+        "region": ([(0, "AFRICA")], "r_regionkey int, r_name string"), "nation": ([(0, "NATION_0", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(k, f"Supplier#{k:09d}", 0) for k in (6, 10, 36, 75, 98, 775)], "s_suppkey long, s_name string, s_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_backbone_of_numbers(spark, tmp_path):
+    built = checklists.q_backbone_build(spark, number_tables(spark, tmp_path)).collect()
+    species = [r.name for r in built if r.rank == "SPECIES"]
+    assert sorted(species) == sorted(f"Nationa supplier{str(k).zfill(9).translate(str.maketrans('0123456789', 'abdefgilno'))} Mill., 1768" for k in (6, 10, 36, 75, 98, 775))
+    folded = {names.normalized(" ".join(n.split()[:2])) for n in species}
+    assert len(folded) < len(species) and {r.parent_name for r in built if r.rank == "SPECIES"} == {"Nationa"}
+
+
 def test_basionyms_and_ids(spark):
     base = source(spark, [
         ("1", "", "", "KINGDOM", "ACCEPTED", "", "Animalia", ""), ("2", "1", "", "FAMILY", "ACCEPTED", "", "Felidae", ""), ("3", "2", "", "GENUS", "ACCEPTED", "", "Puma", ""), ("4", "2", "", "GENUS", "ACCEPTED", "", "Felis", ""),
