@@ -311,13 +311,14 @@ def doubt_subtrees(backbone: DataFrame, heads: DataFrame, issue: str = "HOMONYM"
     return out.withColumns({"status": F.when(hit, "DOUBTFUL").otherwise(F.col("status")), "issues": F.when(hit, F.array_union("issues", F.array(F.lit(issue)))).otherwise(F.col("issues"))}).select(*backbone.columns)
 
 
-def stable_ids(backbone: DataFrame, previous: DataFrame, start: int) -> DataFrame:
-    """(id, stable, reissued): ids of the previous backbone for names that it had, new ones for others.
+def stable_ids(backbone: DataFrame, previous: DataFrame, start: int, name_key: Callable[[Column], Column] = match_key) -> DataFrame:
+    """(id, stable, reissued): ids of the previous backbone for names that it had, new ones for others. ``name_key`` is
+    the one of the build.
 
     A previous id is given once: to an exact name first, then to accepted rows, then to the lowest id.
     """
-    old = previous.select(match_key(F.col("canonical")).alias("_k"), F.col("rank").alias("_rank"), F.col("kingdom").alias("_kingdom"), F.col("name").alias("_oname"), F.col("id").alias("old"))
-    pairs = backbone.withColumn("_k", match_key(F.col("canonical"))).join(old, "_k").filter(rank_match(F.col("rank"), F.col("_rank")) & kingdom_match(F.col("kingdom"), F.col("_kingdom")))
+    old = previous.select(name_key(F.col("canonical")).alias("_k"), F.col("rank").alias("_rank"), F.col("kingdom").alias("_kingdom"), F.col("name").alias("_oname"), F.col("id").alias("old"))
+    pairs = backbone.withColumn("_k", name_key(F.col("canonical"))).join(old, "_k").filter(rank_match(F.col("rank"), F.col("_rank")) & kingdom_match(F.col("kingdom"), F.col("_kingdom")))
     order = [(F.col("name") != F.col("_oname")).cast("int"), F.col("is_synonym").cast("int"), "id", "old"]
     mine = Window.partitionBy("id").orderBy(*order)
     his = Window.partitionBy("old").orderBy(*order)

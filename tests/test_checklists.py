@@ -225,6 +225,11 @@ def test_backbone_of_numbers(spark, tmp_path):
     assert len(folded) < len(species) and {r.parent_name for r in built if r.rank == "SPECIES"} == {"Nationa"}
 
 
+def test_stable_ids_of_numbers(spark, tmp_path):
+    got = {(r.rank, r.reissued): (r.n, r.in_range) for r in checklists.q_stable_ids(spark, number_tables(spark, tmp_path)).collect()}
+    assert got == {("KINGDOM", False): (9, True), ("FAMILY", False): (1, True), ("GENUS", True): (1, True), ("SPECIES", False): (6, True)}
+
+
 def test_basionyms_and_ids(spark):
     base = source(spark, [
         ("1", "", "", "KINGDOM", "ACCEPTED", "", "Animalia", ""), ("2", "1", "", "FAMILY", "ACCEPTED", "", "Felidae", ""), ("3", "2", "", "GENUS", "ACCEPTED", "", "Puma", ""), ("4", "2", "", "GENUS", "ACCEPTED", "", "Felis", ""),
