@@ -17,6 +17,7 @@ from .functions.names import parse_name
 from .functions.ranks import LINNEAN, ORDINAL
 from .operators import aggregates as A
 from .operators import matching, relational, search, tree
+from .sources.tables import materialize
 
 #: Sources whose records the backbone does not show.
 HIDDEN: tuple[str, ...] = ()
@@ -32,20 +33,27 @@ class Store:
 
     def usages(self) -> DataFrame:
         """Current rows with their names; a synonym shows its accepted row and that row's parent."""
-        joined = relational.current(self["usage"]).join(self["name"].select(F.col("id").alias("name_id"), "scientific_name", "canonical_name"), "name_id")
-        return relational.accepted_of(joined, name="scientific_name")
+        return relational.accepted_of(self._raw(), name="scientific_name")
 
-    def _raw(self) -> DataFrame:
-        return relational.current(self["usage"]).join(self["name"].select(F.col("id").alias("name_id"), "scientific_name", "canonical_name"), "name_id")
+    def _raw(self, keys: DataFrame | None = None) -> DataFrame:
+        """Current rows with their names: all, or those of at most a page of ids."""
+        u = relational.current(self["usage"])
+        if keys is not None:
+            u = F.broadcast(u.join(F.broadcast(keys.select("id")), "id", "left_semi"))
+        return u.join(self["name"].select(F.col("id").alias("name_id"), "scientific_name", "canonical_name"), "name_id")
 
     def get(self, key) -> DataFrame:
         return self.usages().filter(F.col("id") == key)
 
     def list(self, dataset: str | None = None, taxon_id: str | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
-        u = self.usages()
+        """A page by id. It is found from the ids of rows with a name; only its rows get names and accepted rows."""
+        u = relational.current(self["usage"])
         u = u.filter(F.col("dataset") == dataset) if dataset else u
         u = u.filter(F.col("taxon_id") == taxon_id) if taxon_id else u
-        return relational.page(u, ["id"], offset, limit)
+        named = u.select("id", "name_id").join(self["name"].select(F.col("id").alias("name_id")).hint("merge"), "name_id", "left_semi")
+        rows = materialize(self._raw(relational.page(named, ["id"], offset, limit)))
+        accepted = self._raw(rows.filter("is_synonym").select(F.col("parent").alias("id")).distinct())
+        return relational.accepted_of(rows, name="scientific_name", among=accepted).orderBy("id")
 
     def key_of(self, dataset: str, taxon_id: str) -> DataFrame:
         return self._raw().filter((F.col("dataset") == dataset) & (F.col("taxon_id") == taxon_id)).agg(F.min("id").alias("id"))

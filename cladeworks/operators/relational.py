@@ -114,16 +114,19 @@ def homonyms(df: DataFrame, name: str, id_col: str) -> DataFrame:
     return counted.select(name, (F.col("_n") * (F.col("_n") - 1)).alias("n_pairs"), "least")
 
 
-def accepted_of(df: DataFrame, id_col: str = "id", parent: str = "parent", synonym: str = "is_synonym", name: str = "name") -> DataFrame:
-    """What a synonym stores as parent is its accepted row: show that as such, and its parent as the parent."""
-    acc = df.select(F.col(id_col).alias("_aid"), F.col(parent).alias("_aparent"), F.col(name).alias("accepted"))
-    joined = df.join(acc, (F.col(parent) == F.col("_aid")) & F.col(synonym), "left")
-    return joined.select(
-        *[c for c in df.columns if c != parent],
-        F.when(F.col(synonym), F.col("_aparent")).otherwise(F.col(parent)).alias(parent),
-        F.when(F.col(synonym), F.col("_aid")).alias("accepted_id"),
-        "accepted",
-    )
+def accepted_of(df: DataFrame, id_col: str = "id", parent: str = "parent", synonym: str = "is_synonym", name: str = "name", among: DataFrame | None = None) -> DataFrame:
+    """What a synonym stores as parent is its accepted row: show that as such, and its parent as the parent.
+
+    Accepted rows are looked for in ``among``, if given. Only synonyms are joined: the others, often without a parent, would
+    all meet in the task of the null key.
+    """
+    acc = (df if among is None else among).select(F.col(id_col).alias("_aid"), F.col(parent).alias("_aparent"), F.col(name).alias("accepted"))
+    kept = [c for c in df.columns if c != parent]
+    linked = F.coalesce(F.col(synonym) & F.col(parent).isNotNull(), F.lit(False))
+    types = dict(acc.dtypes)
+    own = df.filter(~linked).select(*kept, parent, F.lit(None).cast(types["_aid"]).alias("accepted_id"), F.lit(None).cast(types["accepted"]).alias("accepted"))
+    joined = df.filter(linked).join(acc, F.col(parent) == F.col("_aid"), "left")
+    return own.unionByName(joined.select(*kept, F.col("_aparent").alias(parent), F.col("_aid").alias("accepted_id"), "accepted"))
 
 
 def components_for(components: DataFrame, relations: DataFrame, sources: DataFrame, hidden: Sequence, usage: str = "usage_id", source_key: str = "source_key") -> DataFrame:

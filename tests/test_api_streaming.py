@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeworks.api import Store
+from cladeworks.operators import relational
 from cladeworks.streaming import imports
 
 
@@ -55,6 +56,27 @@ def test_reads(store):
         store.list(offset=10**6)
 
 
+def test_list(store):
+    shown = [(r.id, r.parent, r.accepted_id, r.accepted, r.scientific_name) for r in store.list("backbone", offset=2, limit=2).collect()]
+    assert shown == [(3, 2, None, None, "Puma concolor (L.)"), (4, 2, 3, "Puma concolor (L.)", "Felis concolor L.")]
+    assert ids(store.list()) == [1, 2, 3, 4, 5, 6, 8] and ids(store.list(taxon_id="t5")) == [5] and ids(store.list("list", "t7")) == [] and ids(store.list(offset=6)) == [8]
+
+
+def test_rows_without_parents_meet_in_no_task(spark):
+    rows = spark.range(0, 1000, 1, 4).select("id", F.when(F.col("id") < 3, F.col("id") + 1).alias("parent"), (F.col("id") < 2).alias("is_synonym"), F.col("id").cast("string").alias("name"))
+    found = relational.accepted_of(rows)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = [r["count"] for r in relational.accepted_of(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 1000 and max(sizes) <= 260
+    assert {r.id: (r.parent, r.accepted_id, r.accepted) for r in found.filter("id < 4").collect()} == {0: (2, 1, "1"), 1: (3, 2, "2"), 2: (3, None, None), 3: (None, None, None)}
+
+
 def test_search_and_match(store):
     assert ids(store.search({"dataset": ["backbone"]}, "puma"))[0] == 2
     assert {(r.facet, r.value): r.n for r in store.facets({"RANK": ["SPECIES"]}, ["rank"], multi_select=True).collect()}[("rank", "KINGDOM")] == 1
