@@ -16,6 +16,7 @@ equal ids; other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -102,12 +103,17 @@ class TreeBPE:
         return level[0] if level else b""
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> tuple[TreeBPE, TwoGenerations]:
+def fresh_codec(path: str) -> tuple[TreeBPE, TwoGenerations]:
+    """Tables and what they remember; some 100 to 200 MB after much text."""
     bpe = TreeBPE(path)
     return bpe, TwoGenerations(lambda word: bpe.encode_piece(word.encode()))
 
 
+@lru_cache(maxsize=2)
+def codec(path: str) -> tuple[TreeBPE, TwoGenerations]:
+    return fresh_codec(path)
+
+
 def encode_text(text: str | None, path: str) -> list[int]:
     """Token ids of a whole text."""
     _, words = codec(path)
@@ -115,9 +121,18 @@ def encode_text(text: str | None, path: str) -> list[int]:
 
 
 def digests(texts: list[str | None], path: str) -> dict:
-    bpe, words = codec(path)
+    return _digests(texts, *codec(path), _names(path))
+
+
+def digester(path: str) -> Callable[[list[str | None]], dict]:
+    """``digests`` for one task: its tables go when it goes, so the worker doesn't hold them in later stages."""
+    bpe, words = fresh_codec(path)
+    names = {i: str(i).encode() for i in bpe.tokens}
+    return lambda texts: _digests(texts, bpe, words, names)
+
+
+def _digests(texts: list[str | None], bpe: TreeBPE, words: TwoGenerations, names: dict[int, bytes]) -> dict:
     find = splitter("tiktoken")
-    names = _names(path)
     out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
     for text in texts:
         ids = list(chain.from_iterable(map(words.__getitem__, find(text or ""))))
@@ -163,4 +178,4 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of tokens, digest of the ids and digest of the bytes decoded from them. No shuffle."""
-    return text_map(docs, id_col, text_col, OUTPUTS, lambda texts: digests(texts, path))
+    return text_map(docs, id_col, text_col, OUTPUTS, start=lambda: digester(path))

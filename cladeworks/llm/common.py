@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
@@ -33,6 +35,29 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
     yield batch.slice(start)
 
 
+#: glibc's call that returns freed memory to the system; other C libraries do without.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, that of tables in reference cycles too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """Let a task's function give freed memory back when it ends. Workers outlive their tasks, and what an idle one
+    keeps counts beside those at work."""
+
+    def kept_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return kept_lean
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -44,7 +69,7 @@ def text_map(
     id_col: str,
     text_col: str,
     outputs: str,
-    fn: Callable[[list[str | None]], Mapping[str, object]],
+    fn: Callable[[list[str | None]], Mapping[str, object]] | None = None,
     carry: Iterable[str] = (),
     start: Callable[[], Callable] | None = None,
 ) -> DataFrame:
@@ -69,7 +94,7 @@ def text_map(
                 columns += [v if isinstance(v := made[n], pa.Array) else pa.array(v, type=k) for n, k in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *[n for n, _ in kinds]])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 #: A value is hot if it has more than one in so many of all rows; hence there are at most this many hot values.
@@ -130,7 +155,7 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable[[list[str | None]]
             for part in slices(batch, batch.schema.names[at]):
                 yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def replace_texts(df: DataFrame, text_col: str, fn: Callable[[list[str | None]], list[str | None]]) -> DataFrame:
@@ -145,4 +170,4 @@ def replace_texts(df: DataFrame, text_col: str, fn: Callable[[list[str | None]],
                 columns[at] = pa.array(fn(columns[at].to_pylist()), pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

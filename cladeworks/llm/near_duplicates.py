@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import ship
-from .common import arrow_type, bitmap, join_stats, materialize, slices
+from .common import arrow_type, bitmap, join_stats, lean, materialize, slices
 from .words import hashed, mix
 
 THRESHOLD = 0.5
@@ -147,7 +147,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 values = pa.FixedSizeListArray.from_arrays(pa.array(sig[some].ravel()), HASHES).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(k1[some]), pa.array(k2[some]), values, pa.array(counts[some], pa.int64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -163,7 +163,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(k1[some]), pa.array(k2[some])], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
                 row = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(part.take(pa.array(some)).columns, fields)], fields=fields)
                 yield pa.RecordBatch.from_arrays([pa.array(k1[some]), pa.array(k2[some]), row], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 class _Texts:
@@ -317,7 +317,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts_of: _Texts, threshold: fl
                 keep = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left = materialize(with_sigs.select("a", "b", "sa", "sb").mapInArrow(prune, schema))
+    left = materialize(with_sigs.select("a", "b", "sa", "sb").mapInArrow(lean(prune), schema))
     named = materialize(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = texts_of.of(named)
     with_texts = _attach(_attach(left, texts, "a", "_text", "ta"), texts, "b", "_text", "tb")
@@ -350,7 +350,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts_of: _Texts, threshold: fl
                         good_b.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(good_a, kind), pa.array(good_b, kind)], names=["a", "b"])
 
-    return materialize(with_texts.select("a", "b", "ta", "tb").mapInArrow(verify, schema))
+    return materialize(with_texts.select("a", "b", "ta", "tb").mapInArrow(lean(verify), schema))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Words as 64-bit hashes: the token stream of decontamination and near-duplicate search.
 
 A word is a run of characters other than ASCII punctuation, symbols and white space, in lower case.
-The hash of a word is a polynomial over its bytes, read off running sums for all words at once.
+The hash of a word is a polynomial over its bytes, read off running sums for a stretch of words at once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BYTES = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes whose running sums are held at once; a longer word is a stretch of its own. It bounds memory and never changes a hash.
+STRETCH = (1 << 17) - 1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -40,10 +42,18 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], codes != 32, [False]])
     change = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = change[::2], change[1::2]
-    power, inverse = _powers_to(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_BYTES[codes] * power[: len(codes)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + STRETCH, "right")))
+        part = codes[low : ends[last - 1]]
+        power, inverse = _powers_to(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * power[: len(part)], out=sums[1:])
+        a, b = starts[first:last] - low, ends[first:last] - low
+        h[first:last] = (sums[b] - sums[a]) * inverse[a]
+        first = last
     h ^= h >> np.uint64(32)
     h *= _ODD
     h[h == 0] = 1

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeworks.llm.bpe import OUTPUTS as BPE_OUTPUTS
-from cladeworks.llm.bpe import digests
+from cladeworks.llm.bpe import digester
 from cladeworks.llm.common import filter_texts, replace_texts, shared_dir, text_map
 from cladeworks.llm.decontamination import clean_rows
 from cladeworks.llm.near_duplicates import keep_one
@@ -55,7 +55,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
     path = public_tokenizers.path(TOKENIZER)
-    return text_map(docs, "doc_id", "text", BPE_OUTPUTS, lambda texts: digests(texts, path))
+    return text_map(docs, "doc_id", "text", BPE_OUTPUTS, start=lambda: digester(path))
 
 
 STAGES = [

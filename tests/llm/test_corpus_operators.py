@@ -1,16 +1,21 @@
 """Operators 1, 2, 4, 5, 6 and 7, and the pipeline, against plain versions and with their defined cases."""
 
+import gc
 import itertools
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cladeworks.llm import decontamination, language_id, near_duplicates, quality_classifier, queries, sharding, substring_dedup
+from cladeworks.llm import bpe, common, decontamination, language_id, near_duplicates, quality_classifier, queries, sharding, substring_dedup
+from cladeworks.llm import words as word_hashes
+from cladeworks.llm.common import SLICE_BYTES
 from cladeworks.llm.words import hashed, words
 
 
@@ -45,6 +50,51 @@ def test_word_hashes():
 
 # --- 1 ---
 
+def held_at_most(run) -> int:
+    """Most bytes that numpy and Python hold at once while ``run`` runs, beyond those held before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_word_hashes_do_not_depend_on_stretches(monkeypatch):
+    r = random.Random(3)
+    texts = [prose(r, 400), None, "x" * 70, " ", "é" * 40 + " end", prose(r, 3), "last"]
+    whole = hashed(texts)
+    for stretch in (1, 7, 64, 65):
+        monkeypatch.setattr(word_hashes, "STRETCH", stretch)
+        for got, want in zip(hashed(texts), whole):
+            assert got.tolist() == want.tolist()
+
+
+def test_shingling_a_slice_holds_little_memory(monkeypatch):
+    r = random.Random(4)
+    text = prose(r, 800)
+    texts = [text] * (SLICE_BYTES // len(text) + 1)
+    monkeypatch.setattr(word_hashes, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    assert held_at_most(lambda: near_duplicates.shingles(texts)) < 25 * SLICE_BYTES
+    assert max(map(len, word_hashes._powers)) <= 1 << 18
+
+
+def test_tasks_give_freed_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.lean(lambda batches: iter(batches))([1, 2])) == [1, 2] and calls == [1]
+
+
+def test_tokenizing_leaves_no_tables_behind():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bpe.codec.cache_clear()
+    texts = ["Zwölf Boxkämpfer jagen", None, "", "the quick brown fox"]
+    task = common.lean(lambda batches: map(bpe.digester(path), batches))
+    made = list(task([texts]))
+    alive = sum(isinstance(x, bpe.TreeBPE) for x in gc.get_objects())
+    assert alive == 0 and bpe.codec.cache_info().currsize == 0
+    assert made == [bpe.digests(texts, path)]
+
 
 def test_seed_family_is_lossless():
     for a, b in itertools.combinations(range(13), 2):
